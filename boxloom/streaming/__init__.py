@@ -1,0 +1 @@
+"""Boxloom streaming."""
