@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from boxloom.llm import percentiles, topn
+from boxloom.llm import overlap, percentiles, related, topn
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (topn, percentiles):
+for _m in (related, topn, percentiles, overlap):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
