@@ -112,8 +112,7 @@ def category_stats(annotations: DataFrame) -> DataFrame:
 def heavy_categories(annotations: DataFrame, share: float = 0.08) -> DataFrame:
     """Categories that hold at least the share of all annotation ids, those without a category included in the total."""
     total = annotations.where("id is not null").select("id").distinct().agg(F.count("*").alias("total"))
-    # one row against a row for each category: the total is a single number
-    return category_stats(annotations).join(F.broadcast(total)).where(F.col("n_annotations") >= F.col("total") * F.lit(float(share))).select("category_id")
+    return category_stats(annotations).where(F.col("n_annotations") >= total.scalar() * F.lit(float(share))).select("category_id")
 
 
 def p6_category_stats(spark, sf_dir: str) -> DataFrame:
