@@ -1,7 +1,7 @@
 """Scores of documents for abusive, hateful or sexually explicit language.
 
-A linear-chain conditional random field tags the words of each sentence; forward-backward marginals give the spans, and
-a sentence's probability that it holds any gives the document's score, its greatest. The field is trained here, on the
+A linear-chain conditional random field tags the words of each sentence; its forward-backward
+marginals give the spans, and the greatest marginal of a document is its score. The field is trained here, on the
 driver, from a bounded sample of labelled documents. Their labels say only that some sentence is abusive, so the words'
 labels are found in rounds: a field trained so far tells which sentences of the marked documents to take as spans, and
 the next one is trained on them. A few examples and word classes give the first one its start.
@@ -164,6 +164,11 @@ def _flat(words: Words, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]
     return np.array([of(t) for s in sents for t in s], np.int64), np.array([len(s) for s in sents], np.int64)
 
 
+def _pairs(sentence: list[str]) -> list[tuple[str, str]]:
+    w = ["", *map(word, sentence)]
+    return list(zip(w, w[1:], strict=False))
+
+
 def fit(labelled: list[tuple[str, int]]) -> CRF:
     """A field from (text, label) of documents: 1 some sentence is abusive, 0 none is. Labels may be wrong at times.
 
@@ -173,6 +178,7 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
     seen: dict[tuple[str, ...], int] = {}
     sents: list[list[str]] = []
     good, bad, docs = [], [], []  # by sentence: documents of each label it is in; sentences of the marked documents
+    pairs: dict[tuple[str, str], list[int]] = {}  # of each pair of neighbouring words: documents of either label
     for text, label in labelled:
         own = set()
         for s in sentences(text):
@@ -186,6 +192,8 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
             own.add(k)
         for k in own:
             (bad if label else good)[k] += 1
+        for pair in {pair for k in own for pair in _pairs(sents[k])}:
+            pairs.setdefault(pair, [0, 0])[label] += 1
         if label and own:
             docs.append(np.array(sorted(own)))
     n = len(sents)
@@ -198,6 +206,9 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
     share = max(len(docs), 1) / max(len(labelled), 1)
     weight = np.r_[np.minimum(1 + np.log1p(good_), 4.0), np.full(len(everything) - n, 3.0)]
     label = given.copy()
+    # words that come in marked documents about as often as these come are no evidence for anything
+    strange = {pair for pair, (g, b) in pairs.items() if b / (b + g) > min(0.9, 2.5 * share)}
+    odd = np.array([np.mean([pair in strange for pair in _pairs(x)]) > 0.5 for x in sents], bool)
     use = np.r_[good_ > 0, np.ones(len(everything) - n, bool)]  # at first what is only in marked documents is unknown
     model = CRF(SIZE)
     for turn in range(ROUNDS + 1):
@@ -208,13 +219,11 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
         if turn == ROUNDS or not n:
             break
         chain = model.chain(x, lengths)
-        p = (1 - chain.none(chain.forward()[1]))[:n]
-        # a sentence that comes in marked documents about as often as marked documents come is no evidence for anything
-        odd = bad_ / np.maximum(bad_ + good_, 1) > min(0.9, 2.5 * share)
+        p = np.maximum.reduceat(chain.marginals()[0], np.cumsum(lengths) - lengths)[:n]
         label[:n] = (p > 0.5) & odd
         for own in docs:
             best = own[np.argmax(np.where(odd[own], p[own], -1))]
-            if odd[best] and p[best] > 0.1 and not label[own].any():
+            if odd[best] and p[best] > (0.1 if bad_[best] > 1 else 0.3) and not label[own].any():
                 label[best] = 1
         use[:n] = (label[:n] > 0) | (good_ > 0) | (p < 0.1)
         use[:n] &= ~((label[:n] == 0) & (p > 0.9))  # taken for a slip of the labeller
@@ -260,7 +269,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 if sents:
                     tokens, lengths = _flat(words, sents)
                     chain = field.chain(words.features(tokens, lengths), lengths)
-                    p = 1 - chain.none(chain.forward()[1])
+                    p = np.maximum.reduceat(chain.marginals()[0], np.cumsum(lengths) - lengths)
                 doc = np.repeat(np.arange(len(per)), per)
                 best, high = np.zeros(len(per)), np.zeros(len(per), np.int64)
                 np.maximum.at(best, doc, p)
@@ -287,8 +296,8 @@ def spans(documents: DataFrame, labels: DataFrame) -> DataFrame:
                     continue
                 tokens, lengths = _flat(words, own)
                 chain = field.chain(words.features(tokens, lengths), lengths)
-                p, _, z = chain.marginals()
-                whole, begin = 1 - chain.none(z), np.cumsum(lengths) - lengths
+                p, begin = chain.marginals()[0], np.cumsum(lengths) - lengths
+                whole = np.maximum.reduceat(p, begin)
                 for k in np.flatnonzero(whole >= THRESHOLD):
                     q = p[begin[k] : begin[k] + lengths[k]]
                     rows.append((i, int(k), " ".join(t for t, v in zip(own[k], q, strict=True) if v >= 0.5), float(round(q.max(), 6))))

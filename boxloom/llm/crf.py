@@ -41,10 +41,6 @@ class Chain:
         z[self.lengths > 0] = _log_add(alpha[end, 0], alpha[end, 1])
         return alpha, z
 
-    def none(self, z: np.ndarray) -> np.ndarray:
-        """Probability that no token of a sequence is in a span."""
-        return np.exp(np.maximum(self.lengths - 1, 0) * self.edge[0, 0] - z)
-
     def marginals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probability of label 1 of each token, expected count of each edge summed over all, log Z)."""
         alpha, z = self.forward()

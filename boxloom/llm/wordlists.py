@@ -5,7 +5,7 @@ with $ must match as a whole.
 """
 
 CLASSES: dict[str, str] = {
-    "you": "you$ your$ yours$ yourself$ youre$ u$ ur$ du$ dich$ dir$ dein deine ihr$ euch$ eure te$ ti$ tu$ tua$ seu$ sua$ voce$ voces$ vos$ eres$ bist$ usted",
+    "you": "you$ your$ yours$ yourself$ youre$ u$ ur$ du$ dich$ dir$ dein deine ihr$ euch$ eure te$ tu$ tua$ seu$ sua$ voce$ voces$ vos$ eres$ bist$ usted",
     "insult": "idiot imbecil moron cretin dumbass dickhead scumbag bastard bitch whore slut wanker asshole arsehole twat prick retard fuckwit shithead loser$ otari babaca desgracad burro$ corno$ puta$ putas$ vadia canalha gilipollas pendej cabron hijoputa mierda$ merda$ arschloch wichser hurensohn drecksack vollidiot schlampe fotze schwachkopf trottel wench",
     "scorn": "worthless pathetic disgusting useless brainless shameless stinking ugly$ worm$ creature$ vermin rats$ scum$ trash$ lixo$ basura$ ungeziefer abschaum parasit subhuman animals$ inutil asqueros nojent nojo$",
     "group": "immigrant foreigner women$ cripples$ islander northerner muslim jew$ jews$ gays$ queers$ imigrante estrangeiro ilheus mulheres$ velhos$ inmigrante extranjero isleno viejos$ mujeres$ einwanderer auslander frauen$ alten$ inselleute goers$ people$",
