@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from boxloom.operators import heavy_keys, referential
-from boxloom.plans import detection
+from boxloom.plans import dataset, detection
 
 FLAGSHIP = "prf_per_class"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (detection, heavy_keys, referential):
+for _m in (detection, dataset, heavy_keys, referential):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -80,7 +80,7 @@ def yolo(x: Column, y: Column, w: Column, h: Column, width: Column, height: Colu
 
 def fixed8(v: Column) -> Column:
     """Eight decimals, halves of the binary value rounded to even."""
-    return F.format_number(v, "0.00000000")
+    return F.call_function("format_number", v, F.lit("0.00000000"))
 
 
 def valid_box(bbox: Column) -> Column:

@@ -31,7 +31,7 @@ class Rules:
     """What differs between the relative and the COCO measures."""
 
     last_wins: bool = False  # of boxes with equal IoU: the last one, else the first
-    reusable: bool = False  # crowd boxes may be matched again
+
 
 
 def _box(prefix: str) -> tuple[Column, ...]:
@@ -85,16 +85,19 @@ def greedy_matches(pair: DataFrame, grid: Sequence[float], bins: Sequence[str],
     p = pair.withColumn("t", F.explode(hit))
     p = p.withColumn("n", F.count("*").over(Window.partitionBy(*key, "det_id")))
     p = p.withColumn("most", F.max("n").over(Window.partitionBy(*key, "ann_id")))
-    plain = p.where((F.col("most") == 1) & ~F.col("crowd"))
-    first = plain.withColumn("rn", F.row_number().over(Window.partitionBy(*key, "ann_id").orderBy(F.col("score").desc(), "det_id"))).where("rn = 1")
+    plain = (F.col("most") == 1) & ~F.col("crowd")
+    w = Window.partitionBy(*key, "ann_id").orderBy(F.col("score").desc(), "det_id")
+    p = p.withColumn("plain", plain).withColumn("rn", F.row_number().over(w)).where((F.col("rn") == 1) | ~F.col("plain"))
+    # about a row for each match: written once, as both branches below read it
+    p = Scratch(pair.sparkSession, "matches").cut(p.select(*key, "det_id", "score", "ann_id", "bins", "crowd", "v", "plain"))
     names = F.array(*[F.lit(b) for b in bins])
-    settled = first.withColumn("bin", F.explode(names)).select("t", "bin", "image_id", "category_id", "det_id", "ann_id", "score", F.array_contains("bins", F.col("bin")).cast("int").alias("tp"))
-    rest = p.where((F.col("most") > 1) | F.col("crowd"))
+    settled = p.where("plain").withColumn("bin", F.explode(names)).select("t", "bin", "image_id", "category_id", "det_id", "ann_id", "score", F.array_contains("bins", F.col("bin")).cast("int").alias("tp"))
+    rest = p.where("not plain")
     cands = rest.groupBy(*key, "det_id", "score").agg(F.collect_list(F.struct("ann_id", "v", "bins", "crowd")).alias("cands"))
     order = F.struct((-F.col("score")).alias("by"), "det_id", "score", "cands")
     dets = cands.groupBy(*key).agg(F.array_sort(F.collect_list(order)).alias("dets")).withColumn("bin", F.explode(names))
     tie = "c.ann_id" if rules.last_wins else "-c.ann_id"
-    folded = dets.select(*key, "bin", "dets", F.expr(_FOLD.format(tie=tie)).alias("out")).select(*key, "bin", "dets", F.explode("out").alias("m"))
+    folded = dets.select(*key, "bin", "dets", F.expr(_FOLD.format(tie=tie)).alias("out")).select(*key, "bin", "dets", F.explode_outer("out").alias("m")).where("m is not null")
     score = F.expr("filter(dets, d -> d.det_id = m.det_id)[0].score")
     return settled.unionByName(folded.select("t", "bin", "image_id", "category_id", "m.det_id", "m.ann_id", score.alias("score"), "m.tp"))
 
@@ -232,7 +235,7 @@ def coco_metrics(gt: DataFrame, pred: DataFrame, max_det: int = 100) -> DataFram
     within = lambda v: F.filter(F.array(*[F.when((v >= num(lo)) & (v <= num(hi)), F.lit(n)) for n, (lo, hi) in COCO_AREAS.items()]), lambda x: x.isNotNull())
     g = gt.withColumn("crowd", crowd).withColumn("bins", F.when(F.col("crowd"), F.array().cast("array<string>")).otherwise(within(F.col("area"))))
     names = list(COCO_AREAS)
-    m = greedy_matches(pairs(g, p, COCO_GRID[0]), COCO_GRID, names, Rules(last_wins=True, reusable=True))
+    m = greedy_matches(pairs(g, p, COCO_GRID[0]), COCO_GRID, names, Rules(last_wins=True))
     s = Scratch(gt.sparkSession, "coco")
     totals = s.cut(g.select("category_id", F.explode("bins").alias("bin")).groupBy("category_id", "bin").agg(F.count("*").alias("total")))
     cells = totals.select("category_id", "bin", F.explode(F.sequence(F.lit(0), F.lit(len(COCO_GRID) - 1))).alias("t"))

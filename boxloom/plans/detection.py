@@ -213,7 +213,7 @@ SQL = {
     "pr_curve": _curve_sql([0.5], ["all"]) + " select category_id, det_id, n_tp::bigint as n_tp, n_fp::bigint as n_fp, round(recall, 9) as recall, round(precision, 9) as precision from pts",
     "ap101": _curve_sql([0.5], ["all"]) + _AP + " select category_id, round(ap, 9) as ap from ap",
     "relative_map50": _curve_sql([0.5], M.BINS) + _AP + " select bin, round(avg(ap), 9) as map50 from ap group by bin",
-    "relative_map5095": _curve_sql(M.GRID, M.BINS) + _AP + " select bin, round(max(case when t = 0 then ap end), 9) as map50, round(avg(ap), 9) as map5095 from (select bin, t, avg(ap) as ap from ap group by all) group by bin",
+    "relative_map5095": _curve_sql(M.GRID, M.BINS) + _AP + " select b.bin, coalesce(round(max(case when t = 0 then ap end), 9), 0) as map50, coalesce(round(avg(ap), 9), 0) as map5095 from (values ('small'), ('medium'), ('large')) b(bin) left join (select bin, t, avg(ap) as ap from ap group by all) a using (bin) group by b.bin",
     "coco_ap": _COCO + f" select metric, round(value, 9) as value from ({_METRICS})",
     "nms_merge": _nms_sql("select * from pred", 300, "first, rn"),
     "nms_capped": _nms_sql("select * from pred", 4, "first, rn"),
