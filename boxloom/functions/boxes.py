@@ -79,8 +79,23 @@ def yolo(x: Column, y: Column, w: Column, h: Column, width: Column, height: Colu
 
 
 def fixed8(v: Column) -> Column:
-    """Eight decimals, halves of the binary value rounded to even."""
-    return F.call_function("format_number", v, F.lit("0.00000000"))
+    """Eight decimals, rounded by the exact binary value and halves of it to even.
+
+    The product with 1e8 is taken with its rounding error (the factor has 27 bits, so splitting the value is enough);
+    formatting functions round the shortest decimal form instead, which goes the other way at what only looks like a
+    half. From 2**25 on, where no digit is lost, the plain form is used.
+    """
+    a = F.abs(v)
+    c = a * num(134217729)
+    high = c - (c - a)
+    p = a * num(1e8)
+    error = (high * num(1e8) - p) + (a - high) * num(1e8)
+    k = F.floor(p)
+    over = (p - k - num(0.5)) + error
+    n = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
+    text = F.concat(((n - n % 100_000_000) / 100_000_000).cast("bigint").cast("string"), F.lit("."), F.lpad((n % 100_000_000).cast("string"), 8, "0"))
+    sign = F.when(v < 0, "-").otherwise("")
+    return F.when(a < num(2**25), F.concat(sign, text)).otherwise(F.format_string("%.8f", v))
 
 
 def valid_box(bbox: Column) -> Column:

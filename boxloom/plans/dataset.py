@@ -247,7 +247,7 @@ select row_number() over (order by image_id, ty, tx) as patch_id, image_id, tx::
     "group_key": _W + f" select image_id, {_GRP} as grp from im where file_name is not null",
     "split_leakage": _W + ", p as (select source_group as grp, lower(trim(source_split, ' ')) as split, count(*) as n from im where source_group is not null and source_split is not null group by all) select grp, count(*) as n_splits, sum(n)::bigint as n_images from p group by grp having count(*) > 1",
     "reindex_ids": _REIDX + " select split, image_id, new_id from ri",
-    "reindex_annotations": _REIDX + ", cx as (select ann_id, image_id from an join im using (image_id) where least(greatest(x + w, 0), width) > least(greatest(x, 0), width) and least(greatest(y + h, 0), height) > least(greatest(y, 0), height)) select split, row_number() over (partition by split order by new_id, ann_id) as id, new_id as image_id, ann_id from cx join ri using (image_id)",
+    "reindex_annotations": _REIDX + ", cx as (select ann_id, image_id from an join im using (image_id) where width is not null and height is not null and least(greatest(x + w, 0), width) > least(greatest(x, 0), width) and least(greatest(y + h, 0), height) > least(greatest(y, 0), height)) select split, row_number() over (partition by split order by new_id, ann_id) as id, new_id as image_id, ann_id from cx join ri using (image_id)",
     "unused_categories": _W + " select category_id, name from ca where category_id not in (select category_id from an where category_id is not null)",
     "latency_stats": "with e as (select value, row_number() over (order by event_id) as rn from events) select count(*) filter (rn > 10) as images, count(*) filter (rn <= 10) as warmup_images, round(avg(value) filter (rn > 10) * 1000, 4) as latency_ms_mean, round(count(*) filter (rn > 10) / sum(value) filter (rn > 10), 9) as fps from e",
     "early_stop": """with h as (select event_id as epoch, round(value, 3) as val_loss from events where event_id <= 200),
