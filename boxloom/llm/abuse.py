@@ -209,6 +209,10 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
     # words that come in marked documents about as often as these come are no evidence for anything
     strange = {pair for pair, (g, b) in pairs.items() if b / (b + g) > min(0.9, 2.5 * share)}
     odd = np.array([np.mean([pair in strange for pair in _pairs(x)]) > 0.5 for x in sents], bool)
+    # a sentence that marked documents have far more often than chance over all sentences allows is one in any case
+    rate = bad_ / np.maximum(bad_ + good_, 1)
+    far = rate * np.log(np.maximum(rate, 1e-9) / share) + (1 - rate) * np.log(np.maximum(1 - rate, 1e-9) / max(1 - share, 1e-9))
+    sure = odd & (rate > share) & ((bad_ + good_) * far > np.log(20.0 * max(n, 1)))
     use = np.r_[good_ > 0, np.ones(len(everything) - n, bool)]  # at first what is only in marked documents is unknown
     model = CRF(SIZE)
     for turn in range(ROUNDS + 1):
@@ -220,7 +224,7 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
             break
         chain = model.chain(x, lengths)
         p = np.maximum.reduceat(chain.marginals()[0], np.cumsum(lengths) - lengths)[:n]
-        label[:n] = (p > 0.5) & odd
+        label[:n] = (p > 0.5) & odd | sure
         for own in docs:
             best = own[np.argmax(np.where(odd[own], p[own], -1))]
             if odd[best] and p[best] > (0.1 if bad_[best] > 1 else 0.3) and not label[own].any():

@@ -52,8 +52,8 @@ class Items:
 def extend(words: list[str], j: int, text: str, q: int, starts: np.ndarray, step: int) -> dict[int, tuple[int, int]]:
     """Least cost of taking in further words of the item from word j at position q on, and how far the text is used.
 
-    step 1 goes right (word j begins at q), -1 left (word j ends at q). {words taken in: (cost, position)}. By furthest
-    points of each diagonal, cost by cost; a word of the text that is skipped ends where the next one starts.
+    step 1 goes right (word j begins at q), -1 left (word j ends at q). {words taken in: (cost, position)}, the last of
+    which is untouched, as a passage doesn't end with what it lacks. By furthest points of each diagonal, cost by cost; a word of the text that is skipped ends where the next one starts.
     """
     left = len(words) - j if step > 0 else j + 1
     reached: dict[int, tuple[int, int]] = {0: (0, q)}
@@ -74,8 +74,6 @@ def extend(words: list[str], j: int, text: str, q: int, starts: np.ndarray, step
                 k += 1
                 if k not in reached or reached[k][0] > cost:
                     reached[k] = (cost, p)
-            if k not in reached:
-                reached[k] = (cost, p)
             if step > 0:
                 i = int(np.searchsorted(starts, p, side="right"))
                 skip = int(starts[i]) if i < len(starts) else len(text)
@@ -89,8 +87,6 @@ def extend(words: list[str], j: int, text: str, q: int, starts: np.ndarray, step
                     nxt[diag] = (k2, p2)
         for diag, (k, p) in nxt.items():
             seen[diag] = k
-            if k not in reached or reached[k][0] > cost + 1:
-                reached[k] = (cost + 1, p)
         front = nxt
         if not front:
             break

@@ -8,6 +8,7 @@ from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that only say that a name is not known, as written after plain().
 UNKNOWN = frozenset("- ? blank default desconhecido empty file image img keine leer missing n-a na nan nil no-name noname none not-available not-known null photo picture sem-nome sin-nombre source tba tbc tbd test tmp todo unbekannt undefined unknown unnamed unspecified untitled video x xx xxx".split())
@@ -107,22 +108,26 @@ def slips(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-@F.pandas_udf("string")
+# types as objects: a text would be parsed by a session, which there may be none of at import
+_SHOT = T.StructType([*[T.StructField(n, T.StringType()) for n in ("site", "view", "camera", "number")], *[T.StructField(n, T.IntegerType()) for n in ("site_code", "view_code")]])
+
+
+@F.pandas_udf(T.StringType())
 def session_key_udf(s: pd.Series) -> pd.Series:
     return s.map(session_key, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def source_key_udf(s: pd.Series) -> pd.Series:
     return s.map(source_key, na_action="ignore")
 
 
-@F.pandas_udf("site string, view string, camera string, number string, site_code int, view_code int")
+@F.pandas_udf(_SHOT)
 def shot_udf(s: pd.Series) -> pd.DataFrame:
     rows = [r and (*r, letter_code(r[0]), letter_code(r[1])) for r in (shot(x) if isinstance(x, str) else None for x in s)]
     return pd.DataFrame([r or (None,) * 6 for r in rows], columns=["site", "view", "camera", "number", "site_code", "view_code"]).astype({"site_code": "Int32", "view_code": "Int32"})
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def slips_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([slips(x, y, 2) for x, y in zip(a, b, strict=True)], dtype="int32")
