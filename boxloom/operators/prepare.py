@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import clip, out_of_bounds
 from boxloom.plans.prefix import running_sums
+from boxloom.plans.shared import Scratch
 
 SPLITS = ("train", "val", "test")
 RATIOS = {"train": 0.75, "val": 0.15, "test": 0.10}
-SMALL = 5_000_000  # groups whose summaries one task folds; each is a few numbers
+FOLD = 2_000_000  # groups whose summaries one task folds; each is a few numbers
 
 
 def source_group(file_name: Column) -> Column:
@@ -70,13 +71,18 @@ def deal(groups: Iterable[tuple], ratios: dict[str, float] = RATIOS, seed: int =
     return out
 
 
-def group_split(images: DataFrame, annotations: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = 42, order: str = "hash") -> DataFrame:
-    """(grp, split) of every group. Each choice rests on all before it, so the summaries, not the rows, go to one task."""
+def group_split(images: DataFrame, annotations: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = 42, order: str = "hash", fold: int = FOLD) -> DataFrame:
+    """(grp, split) of every group.
+
+    Each choice rests on all before it, so the summaries, not the rows, go to one task. Of more than fold groups each
+    task folds a part of them, by hash, to the same ratios: exactly the same rule within each part.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(deal(zip(pdf["grp"], pdf["n_images"], pdf["first"], pdf["classes"], strict=True), ratios, seed, order), columns=["grp", "split"])
 
-    s = group_summaries(images.where("grp is not null"), annotations)
-    return s.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "grp string, split string")
+    s = Scratch(images.sparkSession, "groups").cut(group_summaries(images.where("grp is not null"), annotations))
+    parts = max(1, -(-s.count() // fold))
+    return s.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(parts))).groupBy("part").applyInPandas(run, "grp string, split string")
 
 
 def clipped_boxes(annotations: DataFrame, images: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import num, relative_area, size_bin
+from boxloom.plans.shared import small
 
 
 def scales(annotations: DataFrame, images: DataFrame, index: DataFrame, small_max: float = 0.01, medium_max: float = 0.05) -> DataFrame:
     """(annotation_id, image_id, class, bbox_area_px, relative_area, size_bin); dangling references are left out."""
-    j = annotations.join(images.select("image_id", "width", "height"), "image_id").join(F.broadcast(index.select("category_id", "name")), "category_id")
+    j = annotations.join(images.select("image_id", "width", "height"), "image_id").join(small(index.select("category_id", "name")), "category_id")
     rel = relative_area(F.col("w"), F.col("h"), F.col("width"), F.col("height"))
     return j.select(F.col("ann_id").alias("annotation_id"), "image_id", F.col("name").alias("class"), (F.col("w") * F.col("h")).alias("bbox_area_px"), rel.alias("relative_area"), size_bin(rel, small_max, medium_max).alias("size_bin"))
 

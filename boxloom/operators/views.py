@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import clip, fixed8, flip_x, yolo
+from boxloom.plans.shared import small
 
 
 def category_index(categories: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def category_index(categories: DataFrame) -> DataFrame:
 
 def yolo_labels(annotations: DataFrame, images: DataFrame, index: DataFrame) -> DataFrame:
     """(image_id, ann_id, line): class and box relative to the image, eight decimals; boxes or images without extent have none."""
-    j = annotations.where("w > 0 and h > 0").join(images.where("width > 0 and height > 0"), "image_id").join(F.broadcast(index.select("category_id", "idx")), "category_id")
+    j = annotations.where("w > 0 and h > 0").join(images.where("width > 0 and height > 0"), "image_id").join(small(index.select("category_id", "idx")), "category_id")
     v = yolo(*[F.col(c) for c in ("x", "y", "w", "h", "width", "height")])
     return j.select("image_id", "ann_id", F.concat_ws(" ", F.col("idx").cast("string"), *[fixed8(c) for c in v]).alias("line"))
 
@@ -35,14 +36,14 @@ def clipped_view(annotations: DataFrame, images: DataFrame, index: DataFrame) ->
     """(image_id, ann_id, x1, y1, x2, y2, area, label): boxes with extent cut to the image, labels from 1 on."""
     known = images.where("width is not null and height is not null")
     j = annotations.where("w > 0 and h > 0").join(known, "image_id").withColumn("c", clip(*[F.col(c) for c in ("x", "y", "w", "h", "width", "height")]))
-    j = j.where("c.w > 0 and c.h > 0").join(F.broadcast(index.select("category_id", "idx")), "category_id")
+    j = j.where("c.w > 0 and c.h > 0").join(small(index.select("category_id", "idx")), "category_id")
     x2, y2 = F.col("c.x") + F.col("c.w"), F.col("c.y") + F.col("c.h")
     return j.select("image_id", "ann_id", F.col("c.x").alias("x1"), F.col("c.y").alias("y1"), x2.alias("x2"), y2.alias("y2"), (F.col("c.w") * F.col("c.h")).alias("area"), (F.col("idx") + 1).alias("label"))
 
 
 def plain_view(annotations: DataFrame, index: DataFrame) -> DataFrame:
     """(image_id, ann_id, x, y, w, h, area, iscrowd, label): boxes with extent as they are, labels from 0 on."""
-    j = annotations.where("w > 0 and h > 0").join(F.broadcast(index.select("category_id", "idx")), "category_id")
+    j = annotations.where("w > 0 and h > 0").join(small(index.select("category_id", "idx")), "category_id")
     area = F.coalesce("area", F.col("w") * F.col("h")) if "area" in annotations.columns else F.col("w") * F.col("h")
     crowd = F.coalesce("iscrowd", F.lit(0)) if "iscrowd" in annotations.columns else F.lit(0)
     return j.select("image_id", "ann_id", "x", "y", "w", "h", area.alias("area"), crowd.alias("iscrowd"), F.col("idx").alias("label"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import num
+from boxloom.plans.shared import small
 
 RAW = "image_id bigint, label int, x1 double, y1 double, x2 double, y2 double, score double, seconds double"
 
@@ -41,11 +42,11 @@ def normalised(raw: DataFrame, index: DataFrame, conf: float = 0.001, max_detect
 
     d = raw.where(F.col("label").isNotNull() & (F.col("score") >= num(conf)))
     if unknown == "raise":
-        d = d.join(F.broadcast(index.select(F.col("idx").alias("label"), "category_id")), "label", "left")
+        d = d.join(small(index.select(F.col("idx").alias("label"), "category_id")), "label", "left")
         bad = F.raise_error(F.concat(F.lit("unknown label "), F.col("label").cast("string")))
         d = d.withColumn("category_id", F.when(F.col("category_id").isNull(), bad.cast("bigint")).otherwise(F.col("category_id")))
     else:
-        d = d.join(F.broadcast(index.select(F.col("idx").alias("label"), "category_id")), "label")
+        d = d.join(small(index.select(F.col("idx").alias("label"), "category_id")), "label")
     if max_detections is not None:
         w = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "x1", "y1", "x2", "y2", "label")
         d = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_detections)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows; reads no more than limit + 1 of them. For deciding on a broadcast."""
     return df.limit(limit + 1).count() <= limit
+
+
+FEW = 100_000  # rows of a side that is broadcast, a few short columns each
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most FEW rows, else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if bounded(df, FEW) else df

@@ -96,6 +96,9 @@ def test_group_key_and_split(spark):
     for order in ("hash", "mt"):
         s = {x.grp: x.split for x in prepare.group_split(images, ann, {"train": 0.5, "val": 0.25, "test": 0.25}, 42, order).collect()}
         assert set(s) == {"same", "other-a", "other-b"} and s["same"] == "train"
+    many = spark.createDataFrame([(i, f"g{i}") for i in range(400)], "image_id long, grp string")
+    split = [x.split for x in prepare.group_split(many, ann.limit(0), fold=90).collect()]
+    assert len(split) == 400 and abs(split.count("train") / 400 - 0.75) < 0.03
     with pytest.raises(ValueError):
         prepare.deal([], {"train": 0.5, "val": 0.2, "test": 0.2})
 
