@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import num, relative_area, size_bin
+from boxloom.plans.prefix import running_sums
 from boxloom.plans.shared import small
 
 
@@ -34,14 +35,12 @@ def histogram(scale: DataFrame, column: str = "relative_area", upper: float = 0.
     The quantile is exact, as a report's figure; for one over far more values than fit a node see the sketches.
     """
     v = scale.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    q = v.agg(F.percentile("v", upper).alias("q"), F.min("v").alias("lo"))
-    # one row of three numbers
-    stats = q.select("q", F.least("lo", "q").alias("lo"))
-    c = v.join(F.broadcast(stats)).withColumn("c", F.least("v", "q"))
-    width = (F.col("q") - F.col("lo")) / bins
-    i = F.when(width > 0, F.least(F.floor((F.col("c") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(bins // 2))
+    top, low = v.agg(F.percentile("v", upper)).scalar(), v.agg(F.min("v")).scalar()
+    known = lambda d: d.withColumn("q", top).withColumn("lo", F.least(low, "q")).withColumn("width", (F.col("q") - F.col("lo")) / bins)
+    c = known(v).withColumn("c", F.least("v", "q"))
+    i = F.when(F.col("width") > 0, F.least(F.floor((F.col("c") - F.col("lo")) / F.col("width")), F.lit(bins - 1))).otherwise(F.lit(bins // 2))
     n = c.groupBy(i.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    grid = stats.where("q is not null").select("lo", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = known(scale.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))).where("q is not null")
     return grid.join(n, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -60,8 +59,6 @@ def summary(annotations: DataFrame, images: DataFrame, scale: DataFrame) -> Data
 
 def latency(durations: DataFrame, order: str = "seq", seconds: str = "seconds", warmup: int = 10) -> DataFrame:
     """(images, warmup_images, latency_ms_mean, fps): the first warmup rows are left out; null without any other."""
-    from boxloom.plans.prefix import running_sums
-
     n = running_sums(durations.select(F.lit(0).alias("g"), F.col(order).alias("o"), F.col(seconds).alias("s")), ["g"], [F.col("o")], {"rn": F.lit(1)})
     rest = F.col("rn") > warmup
     a = n.agg(F.count_if(rest).alias("images"), F.count_if(~rest).alias("warmup_images"), F.avg(F.when(rest, F.col("s"))).alias("mean"), F.sum(F.when(rest, F.col("s"))).alias("total"))
