@@ -220,3 +220,17 @@ SQL = {
     "nms_top_k": _nms_sql("select * from pred", 4, "score desc, det_id"),
     "patch_project": f"with {X.SQL} select det_id, image_id, category_id, x, y, w, h, score from pred",
 }
+
+
+def _unpivoted(sql: str, prefix: str, columns: str, key: str = "") -> str:
+    cast = ", ".join(f"{c}::double as {c}" for c in columns.split(", "))
+    return f"select {prefix} || m as metric, value from (unpivot (select {key + ',' if key else ''} {cast} from ({sql})) on {columns} into name m value value)"
+
+
+_RATES = "tp, fp, fn, precision, recall, f1"
+SQL["evaluate_all"] = " union all ".join([
+    f"select metric, value from ({SQL['coco_ap']})",
+    _unpivoted(SQL["prf_overall"], "'overall_'", _RATES),
+    _unpivoted(SQL["prf_by_size"], "'relative_' || bin || '_'", _RATES, "bin"),
+    _unpivoted(SQL["relative_map5095"], "'relative_' || bin || '_'", "map50, map5095", "bin"),
+])
