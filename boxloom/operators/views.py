@@ -61,3 +61,10 @@ def class_map_differences(one: DataFrame, other: DataFrame) -> DataFrame:
     """(side, id, name) of categories that one of two splits has and the other has not; empty if the maps are equal."""
     a, b = one.select("id", "name").distinct(), other.select("id", "name").distinct()
     return a.exceptAll(b).select(F.lit("only_first").alias("side"), "id", "name").unionByName(b.exceptAll(a).select(F.lit("only_second").alias("side"), "id", "name"))
+
+
+def per_image(images: DataFrame, boxes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """images with boxes: an array of structs of the columns for each, in order of ann_id; empty without any."""
+    b = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ann_id", *columns))).alias("boxes"))
+    j = images.join(b, "image_id", "left")
+    return j.withColumn("boxes", F.coalesce("boxes", F.array().cast(b.schema["boxes"].dataType)))

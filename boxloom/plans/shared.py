@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -21,11 +23,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        _delete(spark, path)
+
+
 class Scratch:
-    """Tables written below the shared folder; drop() removes those that nothing reads any more."""
+    """Tables written below the shared folder; drop() removes those that nothing reads any more.
+
+    The others go when the driver's Python ends: what rests on them can't be read after that.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/boxloom/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(_sweep, spark, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Writes df once and gives the written table, which survives the loss of executors."""
@@ -37,10 +53,8 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._boxloom_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, t._boxloom_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -204,25 +204,25 @@ def write_labels(annotations: DataFrame, images: DataFrame, index: DataFrame, fo
     views.label_files(annotations, images, index).foreachPartition(put)
 
 
-def place_files(images: DataFrame, source: str, target: str, mode: str = "hardlink") -> None:
-    """Images' files linked or copied to another folder; those there already stay. A link that can't be made is a copy."""
+def place_file(source: Path, target: Path, mode: str = "hardlink") -> None:
+    """One file linked or copied; one that is there already stays. A link that can't be made is a copy."""
     if mode not in ("hardlink", "symlink", "copy"):
         raise ValueError("mode must be hardlink, symlink or copy")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    if target.exists() or target.is_symlink():
+        return
+    if mode != "copy":
+        try:
+            os.link(source, target) if mode == "hardlink" else os.symlink(source.resolve(), target)
+            return
+        except OSError:
+            pass
+    shutil.copy2(source, target)
 
-    def put(rows) -> None:
-        for r in rows:
-            src, dst = Path(source, r.file_name), Path(target, r.file_name)
-            dst.parent.mkdir(parents=True, exist_ok=True)
-            if dst.exists() or dst.is_symlink():
-                continue
-            try:
-                if mode == "copy":
-                    raise OSError
-                os.link(src, dst) if mode == "hardlink" else os.symlink(src.resolve(), dst)
-            except OSError:
-                shutil.copy2(src, dst)
-
-    images.select("file_name").foreachPartition(put)
+
+def place_files(images: DataFrame, source: str, target: str, mode: str = "hardlink") -> None:
+    """The images' files linked or copied to another folder, sub-folders kept."""
+    images.select("file_name").foreachPartition(lambda rows: [place_file(Path(source, r.file_name), Path(target, r.file_name), mode) for r in rows])
 
 
 def write_dataset_yaml(index: DataFrame, splits: list[str], folder: str) -> None:
