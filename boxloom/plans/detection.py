@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.operators import matching as M
 from boxloom.operators import nms
+from boxloom.plans.shared import Scratch
 from boxloom.sources import fixture as X
 
 
@@ -77,7 +78,9 @@ def coco_ap(spark, d: str) -> DataFrame:
 
 
 def evaluate(gt: DataFrame, pred: DataFrame, images: DataFrame, conf: float = 0.25, threshold: float = 0.5) -> DataFrame:
-    """(metric, value) of a whole evaluation, under the names of its report."""
+    """(metric, value) of a whole evaluation, under the names of its report. The inputs are written once: all parts read them."""
+    s = Scratch(gt.sparkSession, "evaluate")
+    gt, pred, images = s.cut(gt), s.cut(pred), s.cut(images)
     coco = M.coco_metrics(gt.withColumn("area", F.col("w") * F.col("h")) if "area" not in gt.columns else gt, pred)
     by = M.counts(gt, pred, images, threshold, conf, by_class=False)
     values = ["tp", "fp", "fn", "precision", "recall", "f1"]

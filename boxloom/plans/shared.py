@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,9 @@ FEW = 100_000  # rows of a side that is broadcast, a few short columns each
 def small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if it has at most FEW rows, else as it is, to be joined by shuffle."""
     return F.broadcast(df) if bounded(df, FEW) else df
+
+
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast that gives value on executors, with its classes by value: a plain one would import them there."""
+    b = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(b.value)
