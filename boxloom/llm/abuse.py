@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from boxloom.llm.crf import CRF
 from boxloom.llm.fold import FOLD, unmarked
 from boxloom.llm.wordlists import ABUSIVE, CLASSES, DECENT
-from boxloom.plans.shared import table
+from boxloom.plans.shared import shipped, table
 
 MAX_LABELLED = 5_000  # labelled documents the field is fitted on at most; taken by a hash of their ids
 MAX_LABELLED_CHARS = 20_000  # longer documents are not used for fitting (all are scored)
@@ -250,10 +250,10 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     A null, empty or blank text scores 0 with no sentence. Rows with equal ids are scored one by one.
     """
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(fit(sample(documents, labels)))
+    model = shipped(spark, fit(sample(documents, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, words = model.value, Words()
+        field, words = model(), Words()
         for b in batches:
             if len(words.rows) > MEMORY:
                 words = Words()
@@ -288,10 +288,10 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def spans(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, sentence, words, marginal): the tagged words of each abusive sentence, of documents at the threshold."""
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(fit(sample(documents, labels)))
+    model = shipped(spark, fit(sample(documents, labels)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = model.value
+        field = model()
         for f in frames:
             words, rows = Words(), []
             for i, text in zip(f["doc_id"], f["text"], strict=True):

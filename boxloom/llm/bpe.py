@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.plans.shared import table
+from boxloom.plans.shared import shipped, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the public pattern that parts a text into words for this vocabulary.
@@ -200,10 +200,10 @@ def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, key: str =
     An empty and a null text both have the empty list. Keys may be null or repeated: there is a row for every row. The
     merge table (its size is that of the vocabulary, not of the data) is read by the driver and broadcast.
     """
-    merges = documents.sparkSession.sparkContext.broadcast(load_merges(vocabulary))
+    merges = shipped(documents.sparkSession, load_merges(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(merges.value)
+        enc = Encoder(merges())
         for b in batches:
             length = np.cumsum([len(t.as_py() or "") if t.is_valid else 0 for t in b.column(1)])
             at = 0

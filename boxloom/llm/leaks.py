@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.fmindex import PART, FMIndex
 from boxloom.llm.fold import SYMBOLS, squeeze, squeeze_with_offsets, symbols
-from boxloom.plans.shared import bounded, table
+from boxloom.plans.shared import bounded, shipped, table
 
 RUN, EDITS_IN, SEED = 18, 8, 6
 DEPTH = 48  # symbols of a phrase that are searched; the rest is checked where it is found
@@ -186,10 +186,10 @@ def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         blocks = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect() for b in range(n)]
     out = None
     for rows in blocks:
-        own = spark.sparkContext.broadcast(Items(sorted((r.item_id, r.text) for r in rows)))
+        own = shipped(spark, Items(sorted((r.item_id, r.text) for r in rows)))
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            items = own.value
+            items = own()
             if not items.words:
                 return
             ids: list = []
