@@ -154,11 +154,23 @@ def early_stop(history: DataFrame, patience: int = 10) -> DataFrame:
     """(epoch, val_loss, best, is_best, stale, stop) of a training run's history, one row an epoch.
 
     is_best: below all before. stale: epochs since the best. stop: the first epoch with stale at patience, and all after.
-    A history is one run's epochs, so it is one window.
+    A history may be long, so it is no single window: ranges of epochs have their own least losses, of which each takes
+    those of the ranges before it. Epochs are distinct.
     """
-    before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    h = history.select("epoch", "val_loss").withColumn("best", F.min("val_loss").over(upto))
-    h = h.withColumn("is_best", F.coalesce(F.col("val_loss") < F.min("val_loss").over(before), F.lit(True)))
-    h = h.withColumn("last_best", F.max(F.when(F.col("is_best"), F.col("epoch"))).over(upto)).withColumn("stale", (F.col("epoch") - F.col("last_best")).cast("bigint"))
-    return h.withColumn("stop", F.max(F.col("stale") >= patience).over(upto)).drop("last_best")
+    s = Scratch(history.sparkSession, "early-stop")
+    ranged = history.select("epoch", "val_loss").repartitionByRange("epoch").withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy("epoch")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    least = F.when(F.col("val_loss").isNotNull(), F.struct("val_loss", "epoch"))  # with the epoch that had it first
+    lost = F.when(F.col("val_loss").isNull(), F.col("epoch"))
+    local = s.cut(ranged.withColumns({"_low": F.min(least).over(upto), "_was": F.min(least).over(before), "_lost": F.max(lost).over(upto)}))
+    totals = local.groupBy("_pid").agg(F.min("_low").alias("_l"), F.max("_lost").alias("_n"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = totals.select("_pid", F.min("_l").over(earlier).alias("_l"), F.max("_n").over(earlier).alias("_n"))
+    h = local.join(F.broadcast(offsets), "_pid")
+    h = h.withColumns({"_best": F.least("_low", "_l"), "_prior": F.least("_was", "_l"), "_lost": F.greatest("_lost", "_n")})
+    h = h.withColumn("is_best", F.coalesce(F.col("val_loss") < F.col("_prior.val_loss"), F.lit(True)))
+    h = h.withColumn("stale", (F.col("epoch") - F.greatest("_best.epoch", "_lost")).cast("bigint"))
+    stopped = h.where(F.col("stale") >= patience).agg(F.min("epoch").alias("_stop"))
+    h = h.crossJoin(F.broadcast(stopped))
+    return h.select("epoch", "val_loss", F.col("_best.val_loss").alias("best"), "is_best", "stale", F.coalesce(F.col("epoch") >= F.col("_stop"), F.lit(False)).alias("stop"))

@@ -165,7 +165,7 @@ def latency_stats(spark, d: str) -> DataFrame:
 
 
 def early_stop(spark, d: str) -> DataFrame:
-    h = table(spark, d, "events").where("event_id <= 200").select(F.col("event_id").alias("epoch"), F.round("value", 3).alias("val_loss"))
+    h = table(spark, d, "events").select(F.col("event_id").alias("epoch"), F.round("value", 3).alias("val_loss"))
     return prepare.early_stop(h, 5)
 
 
