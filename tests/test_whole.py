@@ -1,11 +1,16 @@
 """Queries over all rows of their tables, against the rule written anew."""
 
+import math
 import random
+from collections import Counter
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from boxloom import catalog
 from boxloom.operators import prepare
+from boxloom.sources import current
 
 
 def stops(rows, patience):
@@ -39,3 +44,54 @@ def test_early_stop_takes_all_events(spark, data):
     got = catalog.QUERIES["early_stop"](spark, data).orderBy("epoch").collect()
     assert len(got) == len(rows) > 201
     assert [tuple(x) for x in got] == stops(rows, 5)
+
+
+def breaches(images, annotations, categories):
+    """(rule, entity_id, detail) of the rules on annotations, row by row; images: id to (width, height)."""
+    out, seen = Counter(), Counter()
+    for ident, image, category, box in annotations:
+        x, y, w, h = [*(box or []), None, None, None, None][:4]
+        seen[ident] += 1
+        if seen[ident] > 1:
+            out["annotation_id_repeated", str(ident), str(seen[ident])] += 1
+        if image not in images:
+            out["image_unknown", str(ident), None if image is None else str(image)] += 1
+        if category not in categories:
+            out["category_unknown", str(ident), None if category is None else str(category)] += 1
+        if any(v is None or v <= 0 for v in (w, h)):
+            out["box_empty", str(ident), None] += 1
+        if any(v is not None and v < 0 for v in (x, y)):
+            out["box_starts_outside", str(ident), None] += 1
+        # a number that is none is above all others, as in SQL
+        if any(a is not None and b is not None and size is not None and (math.isnan(a + b) or a + b > size) for a, b, size in zip((x, y), (w, h), images.get(image, (None, None)), strict=True)):
+            out["box_exceeds", str(ident), None] += 1
+    return out
+
+
+def test_violations_check_every_row(spark, data):
+    images = {r.image_id: (r.width, r.height) for r in current.images(spark, data).collect()}
+    categories = {r.category_id for r in current.categories(spark, data).collect()}
+    raw = [(r.id, r.image_id, r.category_id, r.bbox) for r in spark.read.parquet(f"{data}/annotations.parquet").collect()]
+    want = breaches(images, raw, categories)
+    got = catalog.QUERIES["violations"](spark, data).where("entity = 'annotation'").collect()
+    assert Counter((r.rule, r.entity_id, r.detail) for r in got) == want
+    counts = {r.rule: r.n for r in catalog.QUERIES["violation_counts"](spark, data).collect()}
+    by = Counter()
+    for (rule, _, _), n in want.items():
+        by[rule] += n
+    assert {k: v for k, v in counts.items() if k not in ("size_invalid", "file_name_repeated")} == by
+
+
+def test_violations_of_superseded_rows(spark, tmp_path):
+    at = [datetime(2025, 1, k) for k in (1, 2, 3)]
+    images = "id long, file_name string, width int, height int, source_file_name string, source_split string, source_group string, received_at timestamp, deleted_at timestamp"
+    tables = {
+        "images": ([(1, "a.jpg", 100, 100, "a", "train", "g", at[0], None)], images),
+        "categories": ([(1, "x", at[0], None)], "id long, name string, received_at timestamp, deleted_at timestamp"),
+        "annotations": ([(5, 1, 1, None, at[0]), (5, 9, 1, [-1.0, 0.0, 5.0, 5.0], at[1]), (5, 1, 1, [0.0, 0.0, 500.0, 5.0], at[2])], "id long, image_id long, category_id long, bbox array<double>, received_at timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        extra = {"area": F.lit(None).cast("double"), "iscrowd": F.lit(0)} if name == "annotations" else {}
+        spark.createDataFrame(rows, schema).withColumns(extra).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r.rule, r.entity_id, r.detail or "") for r in catalog.QUERIES["violations"](spark, str(tmp_path)).collect())
+    assert got == [("annotation_id_repeated", "5", "2"), ("annotation_id_repeated", "5", "3"), ("box_empty", "5", ""), ("box_exceeds", "5", ""), ("box_starts_outside", "5", ""), ("image_unknown", "5", "9")]
