@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import clip, out_of_bounds
 from boxloom.plans.prefix import running_sums
-from boxloom.plans.shared import Scratch
+from boxloom.plans.shared import Scratch, bounded
 
 SPLITS = ("train", "val", "test")
 RATIOS = {"train": 0.75, "val": 0.15, "test": 0.10}
-FOLD = 2_000_000  # groups whose summaries one task folds; each is a few numbers
+FOLD = 2_000_000  # groups that one task shuffles for order mt; each is a few numbers
 
 
 def source_group(file_name: Column) -> Column:
@@ -33,6 +34,35 @@ def group_summaries(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return n.join(m, "grp", "left")
 
 
+class Dealer:
+    """Splits as they fill: a group goes where it leaves least full. total: boxes of each class, images: of all groups."""
+
+    def __init__(self, total: dict[int, int], images: int, ratios: dict[str, float]) -> None:
+        self.total, self.images, self.ratios = total, images, ratios
+        self.have_images = dict.fromkeys(SPLITS, 0)
+        self.have: dict[str, dict[int, int]] = {s: {} for s in SPLITS}
+
+    def to(self, n: int, c: dict[int, int]) -> str:
+        full = {}
+        for s in SPLITS:
+            by_class = [(self.have[s].get(k, 0) + v) / max(self.total[k] * self.ratios[s], 1) for k, v in c.items()]
+            full[s] = 0.35 * (self.have_images[s] + n) / max(self.images * self.ratios[s], 1) + 0.65 * (sum(by_class) / max(len(by_class), 1))
+        to = min(SPLITS, key=full.__getitem__)
+        self.have_images[to] += n
+        for k, v in c.items():
+            self.have[to][k] = self.have[to].get(k, 0) + v
+        return to
+
+
+def rarity(c: dict[int, int], total: dict[int, int]) -> float:
+    return float(sum(v / max(total[k], 1) for k, v in c.items()))
+
+
+def _checked(ratios: dict[str, float]) -> None:
+    if abs(sum(ratios.values()) - 1) > 1e-9:
+        raise ValueError("split ratios must sum to 1")
+
+
 def deal(groups: Iterable[tuple], ratios: dict[str, float] = RATIOS, seed: int = 42, order: str = "hash") -> list[tuple[str, str]]:
     """(group, split) of (group, images, first, classes) summaries.
 
@@ -40,8 +70,7 @@ def deal(groups: Iterable[tuple], ratios: dict[str, float] = RATIOS, seed: int =
     the share of images and 0.65 of the mean share of its classes. Ties keep the order of a seeded shuffle of the groups
     by first appearance (order mt), or that of a hash (order hash).
     """
-    if abs(sum(ratios.values()) - 1) > 1e-9:
-        raise ValueError("split ratios must sum to 1")
+    _checked(ratios)
     rows = sorted(((g, int(n), f, {k: int(v) for k, v in dict(c or {}).items()}) for g, n, f, c in groups), key=lambda r: (r[2], r[0]))
     if order == "mt":
         random.Random(seed).shuffle(rows)
@@ -53,36 +82,45 @@ def deal(groups: Iterable[tuple], ratios: dict[str, float] = RATIOS, seed: int =
     for _, _, _, c in rows:
         for k, v in c.items():
             total[k] = total.get(k, 0) + v
-    images = sum(r[1] for r in rows)
-    rows.sort(key=lambda r: (r[1], sum(v / max(total[k], 1) for k, v in r[3].items())), reverse=True)
-    have_images = dict.fromkeys(SPLITS, 0)
-    have: dict[str, dict[int, int]] = {s: {} for s in SPLITS}
-    out = []
-    for g, n, _, c in rows:
-        full = {}
-        for s in SPLITS:
-            by_class = [(have[s].get(k, 0) + v) / max(total[k] * ratios[s], 1) for k, v in c.items()]
-            full[s] = 0.35 * (have_images[s] + n) / max(images * ratios[s], 1) + 0.65 * (sum(by_class) / max(len(by_class), 1))
-        to = min(SPLITS, key=full.__getitem__)
-        out.append((g, to))
-        have_images[to] += n
-        for k, v in c.items():
-            have[to][k] = have[to].get(k, 0) + v
-    return out
+    rows.sort(key=lambda r: (r[1], rarity(r[3], total)), reverse=True)
+    dealer = Dealer(total, sum(r[1] for r in rows), ratios)
+    return [(g, dealer.to(n, c)) for g, n, _, c in rows]
 
 
 def group_split(images: DataFrame, annotations: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = 42, order: str = "hash", fold: int = FOLD) -> DataFrame:
-    """(grp, split) of every group.
+    """(grp, split) of every group, as deal has them.
 
-    Each choice rests on all before it, so the summaries, not the rows, go to one task. Of more than fold groups each
-    task folds a part of them, by hash, to the same ratios: exactly the same rule within each part.
+    Each choice rests on all before it, so the summaries, not the rows, go to one task. By hash they are sorted by Spark
+    and stream through it, which holds no more than the classes' counts, at any number of groups. The shuffle of order
+    mt needs all groups at once; of more than fold groups it is refused.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(deal(zip(pdf["grp"], pdf["n_images"], pdf["first"], pdf["classes"], strict=True), ratios, seed, order), columns=["grp", "split"])
-
-    s = Scratch(images.sparkSession, "groups").cut(group_summaries(images.where("grp is not null"), annotations))
-    parts = max(1, -(-s.count() // fold))
-    return s.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(parts))).groupBy("part").applyInPandas(run, "grp string, split string")
+    _checked(ratios)
+    t = Scratch(images.sparkSession, "groups").cut(group_summaries(images.where("grp is not null"), annotations))
+    if order == "mt":
+        if not bounded(t, fold):
+            raise ValueError(f"order mt shuffles all groups in one task, at most {fold} of them; take order hash")
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(deal(zip(pdf["grp"], pdf["n_images"], pdf["first"], pdf["classes"], strict=True), ratios, seed, order), columns=["grp", "split"])
+
+        return t.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(run, "grp string, split string")
+    total = {r.k: r.n for r in t.select(F.explode("classes").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("n")).collect()}  # a row a class
+    n_images = t.agg(F.coalesce(F.sum("n_images"), F.lit(0))).first()[0]
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([rarity(dict(c or ()), total) for c in b.column("classes").to_pylist()], pa.float64())], [*b.schema.names, "rare"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(total, n_images, ratios)
+        for b in batches:
+            to = [dealer.to(n, dict(c or ())) for n, c in zip(b.column("n_images").to_pylist(), b.column("classes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(to, pa.string())], ["grp", "split"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema)
+    ties = F.md5(F.concat(F.lit(f"{seed}:"), "grp").cast("binary"))
+    one = t.mapInArrow(rare, f"{schema}, rare double").repartition(1).sortWithinPartitions(F.desc("n_images"), F.desc("rare"), ties, "first", "grp")
+    return one.select("grp", "n_images", "classes").mapInArrow(place, "grp string, split string")
 
 
 def clipped_boxes(annotations: DataFrame, images: DataFrame) -> DataFrame:

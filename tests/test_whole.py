@@ -95,3 +95,22 @@ def test_violations_of_superseded_rows(spark, tmp_path):
         spark.createDataFrame(rows, schema).withColumns(extra).write.parquet(f"{tmp_path}/{name}.parquet")
     got = sorted((r.rule, r.entity_id, r.detail or "") for r in catalog.QUERIES["violations"](spark, str(tmp_path)).collect())
     assert got == [("annotation_id_repeated", "5", "2"), ("annotation_id_repeated", "5", "3"), ("box_empty", "5", ""), ("box_exceeds", "5", ""), ("box_starts_outside", "5", ""), ("image_unknown", "5", "9")]
+
+
+def test_split_is_one_rule_at_all_sizes(spark):
+    r = random.Random(8)
+    images = [(i, f"g{min(int(r.expovariate(0.01)), 700)}") for i in range(1500)]
+    ann = [(k, r.randrange(1500), r.choice([1, 1, 1, 2, 2, 3, 4])) for k in range(4000)]
+    of, classes, n, first = dict(images), {}, Counter(g for _, g in images), {}
+    for i, g in images:
+        first.setdefault(g, i)
+    for _, i, c in ann:
+        classes.setdefault(of[i], Counter())[c] += 1
+    groups = [(g, n[g], first[g], dict(sorted(classes.get(g, {}).items()))) for g in n]
+    a, b = spark.createDataFrame(images, "image_id long, grp string").repartition(5), spark.createDataFrame(ann, "ann_id long, image_id long, category_id long")
+    for fold in (50, 2_000_000):
+        assert {tuple(x) for x in prepare.group_split(a, b, fold=fold).collect()} == set(prepare.deal(groups))
+    assert {tuple(x) for x in prepare.group_split(a, b, order="mt").collect()} == set(prepare.deal(groups, order="mt"))
+    with pytest.raises(ValueError):
+        prepare.group_split(a, b, order="mt", fold=50)
+    assert prepare.group_split(a.limit(0), b).count() == 0
