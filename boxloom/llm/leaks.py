@@ -29,18 +29,19 @@ assert SYMBOLS == 64
 
 
 class Items:
-    """The items' words and the phrases to search."""
+    """The items' words and the phrases to search, by the row's place, as an id may come with several texts."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.words: dict[int, list[str]] = {}
+        self.ids = [item for item, _ in rows]
         phrases: dict[bytes, list[tuple[int, int]]] = {}
-        for item, text in rows:
+        for row, (_, text) in enumerate(rows):
             words = [w for w in map(squeeze, text.split()) if w]
             if len(words) < RUN:
                 continue
-            self.words[item] = words
+            self.words[row] = words
             for k in range(len(words) - SEED + 1):
-                phrases.setdefault(symbols("".join(words[k : k + SEED]))[:DEPTH].tobytes(), []).append((item, k))
+                phrases.setdefault(symbols("".join(words[k : k + SEED]))[:DEPTH].tobytes(), []).append((row, k))
         self.where = list(phrases.values())
         self.lengths = np.array([len(p) for p in phrases], np.int64)
         self.phrases = np.zeros((len(phrases), int(self.lengths.max(initial=0))), np.uint8)
@@ -110,17 +111,17 @@ def passage(words: list[str], k: int, text: str, at: int, starts: np.ndarray) ->
 
 
 def _judge(items: Items, text: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(item, begin, end) in the text of its passages; hits: (item, word, position in the squeezed text)."""
+    """(item, begin, end) in the text of its passages; hits: (row of the item, word, position in the squeezed text)."""
     flat, at, starts = squeeze_with_offsets(text)
     out, last = [], (None, 0)
-    for item, p, k in sorted((i, p, k) for i, k, p in hits):
-        if last[0] == item and p < last[1]:
+    for row, p, k in sorted((r, p, k) for r, k, p in hits):
+        if last[0] == row and p < last[1]:
             continue  # inside a passage that is known already
-        span = passage(items.words[item], k, flat, p, starts)
+        span = passage(items.words[row], k, flat, p, starts)
         if span is not None and span[1] > span[0]:
-            last = (item, span[1])
-            out.append((item, int(at[span[0]]), int(at[span[1] - 1]) + 1))
-    return out
+            last = (row, span[1])
+            out.append((items.ids[row], int(at[span[0]]), int(at[span[1] - 1]) + 1))
+    return list(dict.fromkeys(out))  # texts of one id may share a passage
 
 
 def _windows(n: int, size: int, halo: int) -> Iterator[tuple[int, int]]:
@@ -162,7 +163,7 @@ def _scan(items: Items, texts: list[str], flats: list[str]) -> Iterator[tuple[in
     for g in range(len(parts) + 1):
         if group and (g == len(parts) or size + len(parts[g]) > SHARD):
             for phrase, i, p in one(group):
-                hits.setdefault(i, set()).update((item, k, p) for item, k in items.where[phrase])
+                hits.setdefault(i, set()).update((row, k, p) for row, k in items.where[phrase])
             size, group = 0, []
         if g < len(parts):
             size += len(parts[g]) + 1
