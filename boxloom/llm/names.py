@@ -92,20 +92,27 @@ def letter_code(word: str) -> int:
 
 
 def slips(a: str, b: str, most: int) -> int:
-    """Letters put in, left out, changed or swapped with their neighbour to get from a to b; most + 1 if more."""
+    """Letters put in, left out, changed or swapped with their neighbour to get from a to b; most + 1 if more.
+
+    Letters may be put between swapped ones (unrestricted Damerau-Levenshtein): with one slip in each of two names they overlap.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    rows, seen = [list(range(len(b) + 1))], {}
     for i, x in enumerate(a, 1):
-        new = [i] + [0] * len(b)
+        row, new, same = rows[-1], [i] + [0] * len(b), 0
         for j, y in enumerate(b, 1):
             new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                new[j] = min(new[j], before[j - 2] + 1)
+            k = seen.get(y, 0)
+            if k and same:
+                new[j] = min(new[j], rows[k - 1][same - 1] + (i - k) + (j - same - 1))
+            if x == y:
+                same = j
+        seen[x] = i
         if min(new) > most:
             return most + 1
-        before, row = row, new
-    return min(row[-1], most + 1)
+        rows.append(new)
+    return min(rows[-1][-1], most + 1)
 
 
 # types as objects: a text would be parsed by a session, which there may be none of at import
