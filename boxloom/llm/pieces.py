@@ -2,7 +2,7 @@
 
 An axis longer than the limit is treated like a giant file: it is cut into ranges of RANGE pixels. For each range the
 workers detect its boundaries: of the boxes that end in it, the least start for each end (a box that reaches over the
-range's border is seen by the range of its end, so a halo of one limit before the range is part of its table). Boxes
+range's border belongs to the range of its end; there is no halo row). Boxes
 are reduced to this table before anything is shuffled, so an image that holds most of the boxes costs no more than its
 pixels. The ranges' tables are then streamed in order, stitched by the end of the last piece placed, and the pieces come
 out by offset; no image is held as a whole.
