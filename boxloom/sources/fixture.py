@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.plans.prefix import running_sums
+from boxloom.plans.prefix import row_numbers
 from boxloom.plans.shared import table
 
 
@@ -20,7 +20,7 @@ _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ann_id, image_id, category_id, x, y, w, h (doubles), k: one box for each line of an order."""
     line = table(spark, sf_dir, "lineitem").select(*_ORDER)
-    n = running_sums(line.withColumn("all", F.lit(0)), ["all"], [F.col(c) for c in _ORDER], {"ann_id": F.lit(1)})
+    n = row_numbers(line, [], [F.col(c) for c in _ORDER], "ann_id")
     k = F.col("l_partkey")
     return n.select(
         "ann_id", F.col("l_orderkey").alias("image_id"), (k % 3).alias("category_id"), ((k * 37) % 560).cast("double").alias("x"), ((F.col("l_suppkey") * 53) % 560).cast("double").alias("y"),

@@ -23,27 +23,32 @@ def bin_of(b):
     return "small" if r < 0.01 else "medium" if r < 0.05 else "large"
 
 
-def model(gt, pred, thr, want):
-    """Plain greedy matching: {det: (tp, fp)}."""
-    out = {}
-    groups = defaultdict(lambda: ([], []))
-    for a, i, c, *b in gt:
-        groups[i, c][0].append((a, b, want != "all" and bin_of(b) != want))
-    for d, i, c, *b, s in pred:
-        groups[i, c][1].append((d, b, s))
-    for g, p in groups.values():
-        g.sort(key=lambda t: (t[2], t[0]))
-        used = set()
-        for d, b, _ in sorted(p, key=lambda t: (-t[2], t[0])):
-            c = [(a, iou(b, x), ign) for a, x, ign in g if a not in used and iou(b, x) >= thr]
-            c = [t for t in c if not t[2]] or c
-            if c:
-                a, _, ign = max(c, key=lambda t: t[1])
-                used.add(a)
-                out[d] = (int(not ign), 0)
-            else:
-                out[d] = (0, int(want == "all" or bin_of(b) == want))
-    return out
+def holds(gt, pred, thr, counts, got, crowd=frozenset(), last=False):
+    """Whether got, {det: (tp, fp, box or None)}, is what the rule says, looked at one detection at a time.
+
+    A detection has a box if and only if one of its image and class that it overlaps enough was left by those before it,
+    and there is none it would rather have: one that counts before one that doesn't, the greater overlap, the first id.
+    """
+    place = {d: (-s, d) for d, *_, s in pred}
+    left = lambda a, d: a in crowd or not any(o != d and got[o][2] == a and place[o] < place[d] for o in got)
+    for d, i, c, *b, _ in pred:
+        if d not in got:
+            continue
+        tp, fp, mine = got[d]
+        wish = {a: (counts(a, x), share(b, x) if a in crowd else iou(b, x), a if last else -a) for a, gi, gc, *x in gt if (gi, gc) == (i, c)}
+        free = {a: w for a, w in wish.items() if w[1] >= thr and left(a, d)}
+        if mine is None:
+            assert not free and not tp, d
+        else:
+            assert mine in free and free[mine] == max(free.values()), d
+            assert (tp, fp) == (int(wish[mine][0]), 0), d
+    boxes = [m for _, _, m in got.values() if m is not None and m not in crowd]
+    assert len(boxes) == len(set(boxes))
+
+
+def share(p, g):
+    ix, iy = min(p[0] + p[2], g[0] + g[2]) - max(p[0], g[0]), min(p[1] + p[3], g[1] + g[3]) - max(p[1], g[1])
+    return max(0.0, ix) * max(0.0, iy) / (p[2] * p[3])
 
 
 def crowded(seed, n=120):
@@ -64,20 +69,62 @@ def scene(spark):
 
 
 @pytest.mark.parametrize(("thr", "want"), [(0.5, "all"), (0.5, "small"), (0.3, "medium")])
-def test_matches_model_where_boxes_contend(scene, thr, want):
+def test_matches_where_boxes_contend(scene, thr, want):
     gt, pred, g, p, images = scene
-    got = {r.det_id: (r.tp, r.fp) for r in M.match_records(g, p, images, thr, want).collect()}
-    assert got == model(gt, pred, thr, want)
+    rec, _ = M.relative_records(g, p, images, [thr], [want])
+    got = {r.det_id: (r.tp, r.fp, r.ann_id) for r in rec.collect()}
+    assert set(got) == {r[0] for r in pred}
+    holds(gt, pred, thr, lambda a, x: want in ("all", bin_of(x)), got)
+    for d, *_, in pred:
+        if got[d][2] is None:
+            assert got[d][1] == int(want in ("all", bin_of(pred[d][3:7])))
+    assert {r.det_id: (r.tp, r.fp) for r in M.match_records(g, p, images, thr, want).collect()} == {d: v[:2] for d, v in got.items()}
+
+
+def test_hand_worked_scene(spark):
+    """Two boxes side by side; the best detection takes the left one, the next, which wants it too, has the right one to take."""
+    images = spark.createDataFrame([(1, 100, 100)], "image_id long, width int, height int")
+    g = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 10.0, 10.0), (2, 1, 1, 3.0, 0.0, 10.0, 10.0)], GT)
+    p = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (2, 1, 1, 1.0, 0.0, 10.0, 10.0, 0.8), (3, 1, 1, 1.0, 0.0, 10.0, 10.0, 0.8), (4, 1, 2, 0.0, 0.0, 10.0, 10.0, 0.99), (5, 1, 1, 0.0, 0.0, 10.0, 10.0, None), (6, 1, 1, 0.0, 0.0, 10.0, 10.0, float("nan"))], PRED)
+    rec, _ = M.relative_records(g, p, images, [0.5], ["all"])
+    assert {r.det_id: (r.tp, r.fp, r.ann_id) for r in rec.collect()} == {1: (1, 0, 1), 2: (1, 0, 2), 3: (0, 1, None), 4: (0, 1, None)}
+    with pytest.raises(Exception, match="unknown image_id"):
+        M.with_bins(g.withColumn("image_id", F.lit(9)), images, strict=True).collect()
+    with pytest.raises(Exception, match="unknown image_id"):
+        M.coco_metrics(g.withColumn("area", F.lit(100.0)), p.withColumn("image_id", F.lit(9)), images=images)
+
+
+@pytest.mark.parametrize("rows", [7, 100_000])
+def test_one_image_over_many_batches(spark, rows):
+    """What is held of an image and class from batch to batch changes nothing; neither does the search along x."""
+    gt, pred = crowded(11, 300)
+    gt, pred = [(a, 1, 1, *b) for a, _, _, *b in gt], [(d, 1, 1, *b) for d, _, _, *b in pred]
+    g, p = spark.createDataFrame(gt, GT).withColumns({"bits": F.lit(1).cast("bigint"), "crowd": F.lit(False)}), spark.createDataFrame(pred, PRED).withColumn("bits", F.lit(1).cast("bigint"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = {r.det_id: (r.tp, r.fp, r.ann_id) for r in M.records(g, p, [0.4], 1).collect()}
+        few = {r.det_id for r in M.records(g, p, [0.4], 1, max_det=50).collect()}
+        kept = {r.det_id for r in nms.suppress(p, 0.5, 60).collect()}
+        whole = [r.det_id for r in nms.suppress(p, 0.5, None).orderBy(F.col("score").desc(), "det_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(pred)
+    holds(gt, pred, 0.4, lambda a, x: True, got)
+    order = sorted(pred, key=lambda r: (-r[-1], r[0]))
+    assert few == {r[0] for r in order[:50]}
+    box = {r[0]: r[3:7] for r in pred}
+    assert all(iou(box[a], box[b]) < 0.5 for k, a in enumerate(whole) for b in whole[:k])
+    rank = {r[0]: k for k, r in enumerate(order)}
+    assert all(any(rank[k] < rank[d] and iou(box[d], box[k]) >= 0.5 for k in whole) for d in box if d not in set(whole))
+    assert kept == set(whole[:60])
 
 
 def test_counts_follow_records(scene):
     gt, pred, g, p, images = scene
     got = {r.bin: r for r in M.counts(g, p, images, 0.5, 0.25, by_class=False).collect()}
     for want in ("all", "small", "medium", "large"):
-        rec = [v for d, v in model(gt, pred, 0.5, want).items() if pred[d][-1] >= 0.25]
-        cut = [r for r in pred if r[-1] >= 0.25]
-        rec = list(model(gt, cut, 0.5, want).values())
-        tp, fp = sum(t for t, _ in rec), sum(f for _, f in rec)
+        rec = M.match_records(g, p, images, 0.5, want, 0.25).collect()
+        tp, fp = sum(r.tp for r in rec), sum(r.fp for r in rec)
         total = sum(1 for x in gt if want == "all" or bin_of(x[3:]) == want)
         assert (got[want].tp, got[want].fp, got[want].fn) == (tp, fp, total - tp)
 
@@ -101,7 +148,7 @@ def test_average_precision(scene):
     seen = 0
     for t, thr in enumerate([0.5, 0.75]):
         for want in ("all", "small", "large"):
-            m = model(gt, pred, thr, want)
+            m = {r.det_id: (r.tp, r.fp) for r in M.match_records(g, p, images, thr, want).collect()}
             for c in (0, 1):
                 rows = [(r[-1], r[1], r[0], *m[r[0]]) for r in pred if r[2] == c]
                 total = sum(1 for x in gt if x[2] == c and (want == "all" or bin_of(x[3:]) == want))
@@ -113,48 +160,29 @@ def test_average_precision(scene):
     assert seen >= 8
 
 
-def coco_model(gt, pred, thr, lo, hi, crowd=frozenset()):
-    """{det: (tp, fp)} under the COCO rules, of one area range."""
-    out = {}
-    groups = defaultdict(lambda: ([], []))
-    for a, i, c, *b in gt:
-        groups[i, c][0].append((a, b, a in crowd or not lo <= b[2] * b[3] <= hi, a in crowd))
-    for d, i, c, *b, s in pred:
-        groups[i, c][1].append((d, b, s))
-    for g, p in groups.values():
-        g.sort(key=lambda t: (t[2], t[0]))
-        used = set()
-        for d, b, _ in sorted(p, key=lambda t: (-t[2], t[0]))[:100]:
-            best, at = thr, None
-            for k, (a, x, ign, cr) in enumerate(g):
-                if a in used and not cr:
-                    continue
-                if at is not None and not g[at][2] and ign:
-                    break
-                v = iou(b, x)
-                if cr:
-                    ix = max(0.0, min(b[0] + b[2], x[0] + x[2]) - max(b[0], x[0])) * max(0.0, min(b[1] + b[3], x[1] + x[3]) - max(b[1], x[1]))
-                    v = ix / (b[2] * b[3])
-                if v >= best:
-                    best, at = v, k
-            if at is None:
-                out[d] = (0, int(lo <= b[2] * b[3] <= hi))
-            else:
-                used.add(g[at][0])
-                out[d] = (int(not g[at][2]), 0)
-    return out
-
-
 @pytest.mark.parametrize("crowds", [frozenset(), frozenset({3, 10, 17, 40})])
 def test_coco_metrics(spark, scene, crowds):
     gt, pred, g, p, _ = scene
     g = g.withColumn("area", F.col("w") * F.col("h")).withColumn("iscrowd", F.col("ann_id").isin(list(crowds)).cast("int") if crowds else F.lit(0))
     got = {r.metric: r.value for r in M.coco_metrics(g, p).collect()}
-
-    def mean(lo, hi, grid):
-        v = []
+    flags = g.withColumn("crowd", F.col("iscrowd") == 1)
+    bit = {n: i for i, n in enumerate(M.COCO_AREAS)}
+    every = {r.det_id: (r.tp, r.fp) for r in M.records(flags.withColumn("bits", F.when(F.col("crowd"), F.lit(0).cast("bigint")).otherwise(M.area_bits(F.col("area")))), p.withColumn("bits", M.area_bits(F.col("w") * F.col("h"))), M.COCO_GRID, 4, True, 100).collect()}
+
+    def cell(thr, name):
+        return {d: (tp >> (M.COCO_GRID.index(thr) * 4 + bit[name]) & 1, fp >> (M.COCO_GRID.index(thr) * 4 + bit[name]) & 1) for d, (tp, fp) in every.items()}
+
+    for thr, name in ((0.5, "all"), (M.COCO_GRID[3], "small"), (0.75, "medium")):
+        lo, hi = M.COCO_AREAS[name]
+        inside = F.when(~F.col("crowd") & F.col("area").between(lo, hi), 1).otherwise(0).cast("bigint")
+        one = {r.det_id: (r.tp, r.fp, r.ann_id) for r in M.records(flags.withColumn("bits", inside), p.withColumn("bits", (F.col("w") * F.col("h")).between(lo, hi).cast("bigint")), [thr], 1, True, 100).collect()}
+        holds(gt, pred, thr, lambda a, x, lo=lo, hi=hi: a not in crowds and lo <= x[2] * x[3] <= hi, one, crowds, last=True)
+        assert {d: v[:2] for d, v in one.items()} == cell(thr, name)
+
+    def mean(name, grid):
+        v, (lo, hi) = [], M.COCO_AREAS[name]
         for thr in grid:
-            m = coco_model(gt, pred, thr, lo, hi, crowds)
+            m = cell(thr, name)
             for c in (0, 1):
                 total = sum(1 for x in gt if x[2] == c and x[0] not in crowds and lo <= x[5] * x[6] <= hi)
                 a = ap_model([(r[-1], r[1], r[0], *m[r[0]]) for r in pred if r[2] == c and r[0] in m], total)
@@ -162,9 +190,9 @@ def test_coco_metrics(spark, scene, crowds):
                     v.append(a)
         return sum(v) / len(v) if v else -1.0
 
-    assert got["coco_map5095"] == pytest.approx(mean(0, 1e10, M.COCO_GRID), abs=1e-9)
-    assert got["coco_map50"] == pytest.approx(mean(0, 1e10, [0.5]), abs=1e-9)
-    assert got["coco_ap_small"] == pytest.approx(mean(0, 1024, M.COCO_GRID), abs=1e-9)
+    assert got["coco_map5095"] == pytest.approx(mean("all", M.COCO_GRID), abs=1e-9)
+    assert got["coco_map50"] == pytest.approx(mean("all", [0.5]), abs=1e-9)
+    assert got["coco_ap_small"] == pytest.approx(mean("small", M.COCO_GRID), abs=1e-9)
     assert got["coco_ap_large"] == -1.0
 
 
