@@ -26,6 +26,8 @@ def parser() -> argparse.ArgumentParser:
     command("merge", patch_annotations=need, predictions=need, out=need, iou=number(0.5), max_detections=number(300))
     command("evaluate", gt=need, pred=need, out=need, conf=number(0.25), iou=number(0.50))
     command("compare", metrics={"nargs": "+", "required": True}, out={"default": "reports/comparison"})
+    command("log", metrics=need, run_dir=need, tracking=need)
+    command("run", gt=need, predictions={"nargs": "+", "required": True, "metavar": "MODEL=FILE"}, out=need, conf=number(0.25), iou=number(0.50), dry_run={"action": "store_true"})
     command("environment")
     return p
 
@@ -61,6 +63,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(f"merged detections: {C.merge(spark, a.patch_annotations, a.predictions, a.out, a.iou, a.max_detections)}")
     elif a.command == "evaluate":
         print(json.dumps(C.measure(spark, a.gt, a.pred, a.out, a.conf, a.iou), ensure_ascii=False, indent=2))
+    elif a.command == "log":
+        print(f"metrics logged: {C.log_evaluation(spark, a.metrics, a.run_dir, a.tracking)}")
+    elif a.command == "run":
+        files = dict(p.split("=", 1) for p in a.predictions)
+        done = {m: f"{a.out}/{m}/metrics.json" for m in files}
+        actions = {f"{m}:evaluate": lambda m=m: C.measure(spark, a.gt, files[m], done[m], a.conf, a.iou) for m in files}
+        actions["compare"] = lambda: C.compare_experiments(spark, list(done.values()), f"{a.out}/comparison")
+        for name in jobs.execute(jobs.plan(list(files), convert=False, train=False, predict=False, actions=actions), a.dry_run):
+            print(name)
     else:
         C.compare_experiments(spark, a.metrics, a.out).show(50, truncate=False)
     return 0

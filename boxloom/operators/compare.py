@@ -64,9 +64,19 @@ def history_metrics(history: DataFrame, run_id: str) -> DataFrame:
     return loggable(long.withColumn("run_id", F.lit(run_id)))
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report's table as Markdown; for reports, hence a bounded number of rows."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame) -> str:
+    """A report's table as Markdown, all of its rows: one for each run compared."""
+    rows = df.toLocalIterator()
     cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def bars(metrics: DataFrame) -> DataFrame:
+    """(metric, experiment, value) of a bar chart for each metric, the best run first in each; missing values have no bar."""
+    return metrics.where("value is not null").select("metric", "experiment", "value").orderBy("metric", F.col("value").desc(), "experiment")
+
+
+def mean_loss(steps: DataFrame) -> DataFrame:
+    """(epoch, loss) of (epoch, loss) rows, one for each step: the mean over an epoch's steps that have a loss."""
+    return steps.groupBy("epoch").agg(F.avg("loss").alias("loss"))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import clip, out_of_bounds
-from boxloom.plans.prefix import running_sums
-from boxloom.plans.shared import Scratch, bounded
+from boxloom.operators.deal import dealt
+from boxloom.plans.prefix import row_numbers
+from boxloom.plans.shared import Scratch, bounded, small
 
 SPLITS = ("train", "val", "test")
 RATIOS = {"train": 0.75, "val": 0.15, "test": 0.10}
@@ -26,6 +27,11 @@ def source_group(file_name: Column) -> Column:
     return F.lower(F.regexp_replace(plain, r"(?i)_jpg\.jpg$", ""))
 
 
+def own_group(file_name: Column, image_id: Column) -> Column:
+    """The source group, or a group of its own for an image without a file name."""
+    return F.coalesce(source_group(file_name), F.concat(F.lit("id:"), image_id.cast("string")))
+
+
 def group_summaries(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """(grp, n_images, first, classes): images: image_id, grp. classes: map of category to boxes; first: least image_id."""
     n = images.groupBy("grp").agg(F.count("*").alias("n_images"), F.min("image_id").alias("first"))
@@ -34,24 +40,14 @@ def group_summaries(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return n.join(m, "grp", "left")
 
 
-class Dealer:
-    """Splits as they fill: a group goes where it leaves least full. total: boxes of each class, images: of all groups."""
-
-    def __init__(self, total: dict[int, int], images: int, ratios: dict[str, float]) -> None:
-        self.total, self.images, self.ratios = total, images, ratios
-        self.have_images = dict.fromkeys(SPLITS, 0)
-        self.have: dict[str, dict[int, int]] = {s: {} for s in SPLITS}
-
-    def to(self, n: int, c: dict[int, int]) -> str:
-        full = {}
-        for s in SPLITS:
-            by_class = [(self.have[s].get(k, 0) + v) / max(self.total[k] * self.ratios[s], 1) for k, v in c.items()]
-            full[s] = 0.35 * (self.have_images[s] + n) / max(self.images * self.ratios[s], 1) + 0.65 * (sum(by_class) / max(len(by_class), 1))
-        to = min(SPLITS, key=full.__getitem__)
-        self.have_images[to] += n
-        for k, v in c.items():
-            self.have[to][k] = self.have[to].get(k, 0) + v
-        return to
+def group_strata(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(grp, n_images, rarest): the class of a group's boxes that has fewest in all, the least id of several; -1 without any."""
+    n = images.groupBy("grp").agg(F.count("*").alias("n_images"))
+    c = annotations.where("category_id is not null").join(images.select("image_id", "grp"), "image_id").groupBy("grp", "category_id").agg(F.count("*").alias("n"))
+    c = Scratch(images.sparkSession, "classes").cut(c)  # read twice below
+    rare = c.join(small(c.groupBy("category_id").agg(F.sum("n").alias("total"))), "category_id")
+    rare = rare.groupBy("grp").agg(F.min(F.struct("total", "category_id")).alias("v")).select("grp", F.col("v.category_id").alias("rarest"))
+    return n.join(rare, "grp", "left").select("grp", "n_images", F.coalesce("rarest", F.lit(-1).cast("bigint")).alias("rarest"))
 
 
 def rarity(c: dict[int, int], total: dict[int, int]) -> float:
@@ -63,64 +59,52 @@ def _checked(ratios: dict[str, float]) -> None:
         raise ValueError("split ratios must sum to 1")
 
 
-def deal(groups: Iterable[tuple], ratios: dict[str, float] = RATIOS, seed: int = 42, order: str = "hash") -> list[tuple[str, str]]:
-    """(group, split) of (group, images, first, classes) summaries.
+def least_full(groups: Iterable[tuple], ratios: dict[str, float] = RATIOS, seed: int = 42) -> list[tuple[str, str]]:
+    """(group, split) of (group, images, first, classes) summaries: the seeded rule of order mt.
 
-    Groups go by falling size and rarity of their classes, each to the split that it would leave least full: 0.35 of
-    the share of images and 0.65 of the mean share of its classes. Ties keep the order of a seeded shuffle of the groups
-    by first appearance (order mt), or that of a hash (order hash).
+    The fixed rule: a seeded shuffle of the groups by first appearance, a stable sort by falling images and rarity, then
+    each group to the split it leaves least full, 0.35 of the share of images and 0.65 of the mean share of its classes.
     """
     _checked(ratios)
-    rows = sorted(((g, int(n), f, {k: int(v) for k, v in dict(c or {}).items()}) for g, n, f, c in groups), key=lambda r: (r[2], r[0]))
-    if order == "mt":
-        random.Random(seed).shuffle(rows)
-    else:
-        import hashlib
-
-        rows.sort(key=lambda r: hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest())
-    total: dict[int, int] = {}
-    for _, _, _, c in rows:
-        for k, v in c.items():
-            total[k] = total.get(k, 0) + v
-    rows.sort(key=lambda r: (r[1], rarity(r[3], total)), reverse=True)
-    dealer = Dealer(total, sum(r[1] for r in rows), ratios)
-    return [(g, dealer.to(n, c)) for g, n, _, c in rows]
+    todo = pd.DataFrame([(g, int(n), f, {k: int(v) for k, v in dict(c or {}).items()}) for g, n, f, c in groups], columns=["g", "n", "first", "c"]).sort_values(["first", "g"])
+    rows = list(todo.itertuples(index=False))
+    random.Random(seed).shuffle(rows)
+    total = Counter()
+    for r in rows:
+        total.update(r.c)
+    cap = {s: (max(ratios[s] * sum(r.n for r in rows), 1), {k: max(v * ratios[s], 1) for k, v in total.items()}) for s in SPLITS}
+    have, out = {s: [0, Counter()] for s in SPLITS}, []
+    for r in sorted(rows, key=lambda r: (r.n, rarity(r.c, total)), reverse=True):
+        def load(s: str, r=r) -> float:
+            shares = [(have[s][1][k] + v) / cap[s][1][k] for k, v in r.c.items()]
+            return 0.35 * (have[s][0] + r.n) / cap[s][0] + 0.65 * (sum(shares) / max(len(shares), 1))
+
+        to = min(SPLITS, key=load)
+        have[to][0] += r.n
+        have[to][1].update(r.c)
+        out.append((r.g, to))
+    return out
 
 
 def group_split(images: DataFrame, annotations: DataFrame, ratios: dict[str, float] = RATIOS, seed: int = 42, order: str = "hash", fold: int = FOLD) -> DataFrame:
-    """(grp, split) of every group, as deal has them.
+    """(grp, split) of every group.
 
-    Each choice rests on all before it, so the summaries, not the rows, go to one task. By hash they are sorted by Spark
-    and stream through it, which holds no more than the classes' counts, at any number of groups. The shuffle of order
-    mt needs all groups at once; of more than fold groups it is refused.
+    By hash, at any size: groups are stratified by the band of their size and their rarest class, and dealt systematically
+    (operators/deal.py); groups and classes come out in the ratios. Order mt gives the seeded result of a sequential rule
+    (least_full) in one task; of more than fold groups it is refused. A null group is left out: see own_group.
     """
     _checked(ratios)
-    t = Scratch(images.sparkSession, "groups").cut(group_summaries(images.where("grp is not null"), annotations))
-    if order == "mt":
-        if not bounded(t, fold):
-            raise ValueError(f"order mt shuffles all groups in one task, at most {fold} of them; take order hash")
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(deal(zip(pdf["grp"], pdf["n_images"], pdf["first"], pdf["classes"], strict=True), ratios, seed, order), columns=["grp", "split"])
-
-        return t.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(run, "grp string, split string")
-    total = {r.k: r.n for r in t.select(F.explode("classes").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("n")).collect()}  # a row a class
-    n_images = t.agg(F.coalesce(F.sum("n_images"), F.lit(0))).first()[0]
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([rarity(dict(c or ()), total) for c in b.column("classes").to_pylist()], pa.float64())], [*b.schema.names, "rare"])
+    images = images.where("grp is not null")
+    if order != "mt":
+        return dealt(group_strata(images, annotations), "grp", "n_images", ["rarest"], {n: ratios[n] for n in SPLITS}, seed)
+    t = Scratch(images.sparkSession, "groups").cut(group_summaries(images, annotations))
+    if not bounded(t, fold):
+        raise ValueError(f"order mt shuffles all groups in one task, at most {fold} of them; take order hash")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(total, n_images, ratios)
-        for b in batches:
-            to = [dealer.to(n, dict(c or ())) for n, c in zip(b.column("n_images").to_pylist(), b.column("classes").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(to, pa.string())], ["grp", "split"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(least_full(zip(pdf["grp"], pdf["n_images"], pdf["first"], pdf["classes"], strict=True), ratios, seed), columns=["grp", "split"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema)
-    ties = F.md5(F.concat(F.lit(f"{seed}:"), "grp").cast("binary"))
-    one = t.mapInArrow(rare, f"{schema}, rare double").repartition(1).sortWithinPartitions(F.desc("n_images"), F.desc("rare"), ties, "first", "grp")
-    return one.select("grp", "n_images", "classes").mapInArrow(place, "grp string, split string")
+    return t.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(run, "grp string, split string")
 
 
 def clipped_boxes(annotations: DataFrame, images: DataFrame) -> DataFrame:
@@ -142,13 +126,13 @@ def clip_report(annotations: DataFrame, images: DataFrame) -> DataFrame:
 
 def reindexed_images(images: DataFrame) -> DataFrame:
     """images (image_id, split, grp, file_name, ...) with new_id: from 1 in each split, by group and name."""
-    return running_sums(images, ["split"], [F.col("grp"), F.col("file_name"), F.col("image_id")], {"new_id": F.lit(1)})
+    return row_numbers(images, ["split"], [F.col("grp"), F.col("file_name"), F.col("image_id")], "new_id")
 
 
 def reindexed_annotations(clipped: DataFrame, images: DataFrame) -> DataFrame:
     """(split, id, image_id, ann_id, ...): annotations from 1 in each split, by new image and old id. images: as above."""
     j = clipped.join(images.select("image_id", "split", "new_id"), "image_id").drop("image_id").withColumnRenamed("new_id", "image_id")
-    return running_sums(j, ["split"], [F.col("image_id"), F.col("ann_id")], {"id": F.lit(1)})
+    return row_numbers(j, ["split"], [F.col("image_id"), F.col("ann_id")], "id")
 
 
 def unused_categories(categories: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -172,7 +156,7 @@ def export_records(splits: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) ->
             raise ValueError(f"category mapping differs in split {other}")
     img = ann = None
     for name, (i, a, _) in splits.items():
-        i, a = i.withColumn("source_split", F.lit(name)).withColumn("grp", source_group(F.col("file_name"))), a.withColumn("source_split", F.lit(name))
+        i, a = i.withColumn("source_split", F.lit(name)).withColumn("grp", own_group(F.col("file_name"), F.concat_ws(":", F.lit(name), "image_id"))), a.withColumn("source_split", F.lit(name))
         img, ann = (i, a) if img is None else (img.unionByName(i), ann.unionByName(a))
     return img, ann
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.boxes import intersection, num, visible_fraction
-from boxloom.plans.prefix import running_sums
+from boxloom.plans.prefix import row_numbers
 
 
 def stride_of(patch: int, overlap: float) -> int:
@@ -72,10 +72,10 @@ def sampled_tiles(images: DataFrame, annotations: DataFrame, patch: int = 640, o
     if not keep_all:
         key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "image_id", "tx", "ty")), 1, 15), 16, 10).cast("bigint")
         n_pos = all_tiles.where("positive").count()
-        ranked = running_sums(all_tiles.where("not positive").withColumn("g", F.lit(0)).withColumn("key", key), ["g"], [F.col("key"), F.col("image_id"), F.col("ty"), F.col("tx")], {"rank": F.lit(1)})
+        ranked = row_numbers(all_tiles.where("not positive").withColumn("key", key), [], [F.col("key"), F.col("image_id"), F.col("ty"), F.col("tx")], "rank")
         few = ranked.where(F.col("rank") <= math.ceil(n_pos * negative_ratio)).select(*all_tiles.columns)
         all_tiles = all_tiles.where("positive").unionByName(few)
-    numbered = running_sums(all_tiles.withColumn("g", F.lit(0)), ["g"], [F.col("image_id"), F.col("ty"), F.col("tx")], {"patch_id": F.lit(1)})
+    numbered = row_numbers(all_tiles, [], [F.col("image_id"), F.col("ty"), F.col("tx")], "patch_id")
     return numbered.select("patch_id", "image_id", "tx", "ty", "tw", "th", "positive")
 
 
@@ -90,6 +90,6 @@ def tile_dataset(images: DataFrame, annotations: DataFrame, **how) -> tuple[Data
     seen = tile_annotations(images, annotations, **cut).join(t.select("patch_id", "image_id", "tx", "ty"), ["image_id", "tx", "ty"])
     crowd = annotations.select("ann_id", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd")) if "iscrowd" in annotations.columns else None
     seen = seen.join(crowd, "ann_id") if crowd is not None else seen.withColumn("iscrowd", F.lit(0))
-    ids = running_sums(seen.withColumn("g", F.lit(0)), ["g"], [F.col("patch_id"), F.col("ann_id")], {"id": F.lit(1)})
+    ids = row_numbers(seen, [], [F.col("patch_id"), F.col("ann_id")], "id")
     ann = ids.select("id", F.col("patch_id").alias("image_id"), "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), "iscrowd", F.col("ann_id").alias("source_annotation_id"), F.col("visible").alias("visible_fraction"))
     return out, ann

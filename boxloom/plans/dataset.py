@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.operators import compare, prepare, profile, quality, tiling, views
+from boxloom.operators import compare, deal, prepare, profile, quality, tiling, views
 from boxloom.plans.detection import _round
 from boxloom.plans.shared import table
 from boxloom.sources import current as C
@@ -118,11 +118,16 @@ def orphan_refs(spark, d: str) -> DataFrame:
 
 
 def group_key(spark, d: str) -> DataFrame:
-    return C.images(spark, d).where("file_name is not null").select("image_id", prepare.source_group(F.col("file_name")).alias("grp"))
+    return _grouped(spark, d).select("image_id", "grp")
 
 
 def _grouped(spark, d: str) -> DataFrame:
-    return C.images(spark, d).where("file_name is not null").withColumn("grp", prepare.source_group(F.col("file_name")))
+    return C.images(spark, d).withColumn("grp", prepare.own_group(F.col("file_name"), F.col("image_id")))
+
+
+def _given(spark, d: str) -> DataFrame:
+    """The images with the split they came with, those without one as a split of their own."""
+    return _grouped(spark, d).withColumn("split", F.coalesce(F.lower(F.trim("source_split")), F.lit("unknown")))
 
 
 def group_split(spark, d: str) -> DataFrame:
@@ -135,13 +140,11 @@ def split_leakage(spark, d: str) -> DataFrame:
 
 
 def reindex_ids(spark, d: str) -> DataFrame:
-    i = _grouped(spark, d).where("source_split is not null").withColumn("split", F.lower(F.trim("source_split")))
-    return prepare.reindexed_images(i.select("split", "grp", "file_name", "image_id")).select("split", "image_id", "new_id")
+    return prepare.reindexed_images(_given(spark, d).select("split", "grp", "file_name", "image_id")).select("split", "image_id", "new_id")
 
 
 def reindex_annotations(spark, d: str) -> DataFrame:
-    i = _grouped(spark, d).where("source_split is not null").withColumn("split", F.lower(F.trim("source_split")))
-    new = prepare.reindexed_images(i.select("split", "grp", "file_name", "image_id"))
+    new = prepare.reindexed_images(_given(spark, d).select("split", "grp", "file_name", "image_id"))
     return prepare.reindexed_annotations(prepare.clipped_boxes(C.annotations(spark, d), C.images(spark, d)), new).select("split", "id", "image_id", "ann_id")
 
 
@@ -200,14 +203,20 @@ ta as (select image_id, tx, ty, ann_id, category_id, x1 - tx as x, y1 - ty as y,
 seen as (select * from ta where visible >= 0.3::double)"""
 _LINE = "idx || ' ' || format('{:.8f} {:.8f} {:.8f} {:.8f}', (x + w / 2) / width, (y + h / 2) / height, w / width, h / height)"
 _GRP = r"lower(regexp_replace(regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '(?i)\.rf\.[0-9a-f]+(\.[^.]+)$', '\1'), '(?i)_jpg\.jpg$', ''))"
-_REIDX = f"""{_W}, ri as (select lower(trim(source_split, ' ')) as split, image_id, row_number() over (partition by lower(trim(source_split, ' ')) order by {_GRP}, file_name, image_id) as new_id from im where file_name is not null and source_split is not null)"""
+_OWN = f"coalesce({_GRP}, 'id:' || image_id::varchar)"
+_REIDX = f"""{_W}, ri as (select coalesce(lower(trim(source_split, ' ')), 'unknown') as split, image_id, row_number() over (partition by coalesce(lower(trim(source_split, ' ')), 'unknown') order by {_OWN}, file_name nulls first, image_id) as new_id from im)"""
+_DEALT = f"""with recursive {C.SQL},
+gi as (select image_id, {_OWN} as grp from im),
+gc as (select grp, category_id, count(*) as n from an join gi using (image_id) group by all),
+gr as (select grp, min(row(total, category_id)) as v from gc join (select category_id, sum(n)::bigint as total from gc group by 1) using (category_id) group by 1),
+gs as (select grp, count(*) as n_images, any_value(coalesce(v[2], -1)) as rarest from gi left join gr using (grp) group by 1),
+{deal.sql('gs', 'grp', 'n_images', 'rarest', {'train': 750000, 'val': 150000, 'test': 100000})}"""
 _VIOL = f"""{_W},
-a2 as (select ann_id, image_id, category_id, bbox[1] as x, bbox[2] as y, bbox[3] as w, bbox[4] as h from al
-  union all select ann_id, image_id, category_id, bbox[1], bbox[2], bbox[3], bbox[4] from al where ann_id in (select id from annotations group by id having count(*) > 1)),
+a2 as (select id as ann_id, image_id, category_id, bbox[1] as x, bbox[2] as y, bbox[3] as w, bbox[4] as h from annotations),
 v as (
 select 'warning' as severity, 'size_invalid' as rule, 'image' as entity, image_id::varchar as entity_id, coalesce(width::varchar, 'null') || 'x' || coalesce(height::varchar, 'null') as detail from im where coalesce(width, 0) <= 0 or coalesce(height, 0) <= 0
 union all select 'error', 'file_name_repeated', 'image', file_name, count(*)::varchar from im where file_name is not null group by file_name having count(*) > 1
-union all select 'error', 'annotation_id_repeated', 'annotation', ann_id::varchar, '2' from a2 group by ann_id having count(*) > 1
+union all select 'error', 'annotation_id_repeated', 'annotation', ann_id::varchar, k::varchar from (select ann_id, row_number() over (partition by ann_id) as k from a2) where k > 1
 union all select 'error', 'image_unknown', 'annotation', ann_id::varchar, image_id::varchar from a2 where image_id is null or image_id not in (select image_id from im)
 union all select 'error', 'category_unknown', 'annotation', ann_id::varchar, category_id::varchar from a2 where category_id is null or category_id not in (select category_id from ca)
 union all select 'error', 'box_empty', 'annotation', ann_id::varchar, null from a2 where coalesce(w, 0) <= 0 or coalesce(h, 0) <= 0
@@ -243,13 +252,17 @@ select row_number() over (order by image_id, ty, tx) as patch_id, image_id, tx::
     "violation_counts": _VIOL + " select severity, rule, count(*) as n from v group by all",
     "dup_content": "with d as (select doc_id, sha256(text) as h from documents where text is not null), f as (select h, min(doc_id) as owner from d group by h) select doc_id::varchar as entity_id, owner::varchar as detail from d join f using (h) where doc_id > owner",
     "orphan_refs": _W + " select ann_id, 'image_id' as ref_field from an where image_id is null or image_id not in (select image_id from im) union all select ann_id, 'category_id' from an where category_id is null or category_id not in (select category_id from ca)",
-    "group_key": _W + f" select image_id, {_GRP} as grp from im where file_name is not null",
+    "group_key": _W + f" select image_id, {_OWN} as grp from im",
+    "group_split": _DEALT + " select grp, split from dealt",
+    "prepared_summary": _DEALT + """, cx as (select image_id from an join im using (image_id) where width is not null and height is not null and least(greatest(x + w, 0), width) > least(greatest(x, 0), width) and least(greatest(y + h, 0), height) > least(greatest(y, 0), height)),
+per as (select image_id, count(*) as n from cx group by 1)
+select split, count(*) as images, coalesce(sum(n), 0)::bigint as annotations from gi join dealt using (grp) left join per using (image_id) group by 1""",
     "split_leakage": _W + ", p as (select source_group as grp, lower(trim(source_split, ' ')) as split, count(*) as n from im where source_group is not null and source_split is not null group by all) select grp, count(*) as n_splits, sum(n)::bigint as n_images from p group by grp having count(*) > 1",
     "reindex_ids": _REIDX + " select split, image_id, new_id from ri",
     "reindex_annotations": _REIDX + ", cx as (select ann_id, image_id from an join im using (image_id) where width is not null and height is not null and least(greatest(x + w, 0), width) > least(greatest(x, 0), width) and least(greatest(y + h, 0), height) > least(greatest(y, 0), height)) select split, row_number() over (partition by split order by new_id, ann_id) as id, new_id as image_id, ann_id from cx join ri using (image_id)",
     "unused_categories": _W + " select category_id, name from ca where category_id not in (select category_id from an where category_id is not null)",
     "latency_stats": "with e as (select value, row_number() over (order by event_id) as rn from events) select count(*) filter (rn > 10) as images, count(*) filter (rn <= 10) as warmup_images, round(avg(value) filter (rn > 10) * 1000, 4) as latency_ms_mean, round(count(*) filter (rn > 10) / sum(value) filter (rn > 10), 9) as fps from e",
-    "early_stop": """with h as (select event_id as epoch, round(value, 3) as val_loss from events where event_id <= 200),
+    "early_stop": """with h as (select event_id as epoch, round(value, 3) as val_loss from events),
 b as (select *, min(val_loss) over (order by epoch) as best, coalesce(val_loss < min(val_loss) over (order by epoch rows between unbounded preceding and 1 preceding), true) as is_best from h),
 s as (select *, (epoch - max(case when is_best then epoch end) over (order by epoch))::bigint as stale from b)
 select epoch, val_loss, best, is_best, stale, bool_or(stale >= 5) over (order by epoch) as stop from s""",

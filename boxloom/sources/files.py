@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import os
 import shutil
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.operators import compare, views
+from boxloom.plans.prefix import row_numbers
+from boxloom.plans.shared import Scratch
 
 # ids are read as text: the files have them as numbers, as numbers with a point and as strings
 _IMAGE = "struct<id:string,file_name:string,width:string,height:string,source_file_name:string,source_split:string,source_group:string,source_image_id:string,patch_x:string,patch_y:string>"
@@ -59,26 +63,48 @@ def hidden_text(spark: SparkSession, path: str) -> DataFrame:
 def read_coco(spark: SparkSession, path: str) -> Dataset:
     """A COCO document, or several under one path pattern; ord is the order in the file.
 
-    A document without images, annotations or categories is an error when its rows are read; an empty list is not.
+    A document is parsed once: its parts are written to the shared folder as one table. A document without images,
+    annotations or categories is an error; an empty list is not.
     """
     doc = spark.read.schema(COCO).json(path, multiLine=True) if not hidden(path) else hidden_text(spark, path).select(F.from_json("value", COCO).alias("d")).select("d.*")
     missing = F.raise_error(F.lit(f"{path}: images, annotations or categories missing"))
-    need = lambda c: F.when(F.col("images").isNull() | F.col("annotations").isNull() | F.col("categories").isNull(), missing.cast(doc.schema[c].dataType)).otherwise(F.col(c))
-    part = lambda c: doc.select(F.posexplode(need(c)).alias("ord", "v")).select("ord", "v.*")
-    i = part("images").select(_id("id").alias("image_id"), "file_name", *[_id(c).cast("int").alias(c) for c in ("width", "height", "patch_x", "patch_y")], _id("source_image_id").alias("source_image_id"), "source_file_name", "source_split", "source_group", "ord")
-    a = part("annotations").select(
+    none = {"i": _IMAGE, "a": _ANN, "c": _CAT}
+    part = lambda list_, name: F.transform(list_, lambda v, k: F.struct(k.alias("ord"), *[v.alias(n) if n == name else F.lit(None).cast(t).alias(n) for n, t in none.items()]))
+    rows = F.concat(part(F.col("images"), "i"), part(F.col("annotations"), "a"), part(F.col("categories"), "c"))
+    fine = F.col("images").isNotNull() & F.col("annotations").isNotNull() & F.col("categories").isNotNull()
+    kind = ", ".join(f"{n}: {t}" for n, t in none.items())
+    one = doc.select(F.explode(F.when(fine, rows).otherwise(missing.cast(f"array<struct<ord: int, {kind}>>"))).alias("v")).select("v.*")
+    one = Scratch(spark, "coco").cut(one)
+    i = one.where("i is not null").select("ord", "i.*").select(_id("id").alias("image_id"), "file_name", *[_id(c).cast("int").alias(c) for c in ("width", "height", "patch_x", "patch_y")], _id("source_image_id").alias("source_image_id"), "source_file_name", "source_split", "source_group", "ord")
+    a = one.where("a is not null").select("ord", "a.*").select(
         _id("id").alias("ann_id"), _id("image_id").alias("image_id"), _id("category_id").alias("category_id"), *[F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh")],
         "area", F.coalesce(_id("iscrowd").cast("int"), F.lit(0)).alias("iscrowd"), _id("source_annotation_id").alias("source_annotation_id"), "visible_fraction", "ord",
     )
-    c = part("categories").select(_id("id").alias("id"), "name", "supercategory")
+    c = one.where("c is not null").select("c.*").select(_id("id").alias("id"), "name", "supercategory")
     return Dataset(i, a, c)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """det_id (the order in the file), image_id, category_id, x, y, w, h, score of a JSON array of detections."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.from_json("value", f"array<{PREDICTION}>")).alias("det_id", "v")).select(F.col("det_id").cast("bigint").alias("det_id"), "v.*")
-    return rows.select("det_id", _id("image_id").alias("image_id"), _id("category_id").alias("category_id"), *[F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh")], "score")
+    """det_id, image_id, category_id, x, y, w, h, score of detections in JSON: arrays, or a line for each, in one file or
+    a folder of them, as merge writes them. det_id counts from 0 over all files, by name and place in the file.
+
+    Arrays are read whole, lines by ranges. Text that isn't a detection is an error; an empty file or array has none.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where(F.trim("value") != "")
+    head = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    bad = F.raise_error(F.concat(F.lit(f"{path}: not a detection or an array of them: "), F.substring("value", 1, 80)))
+    if head is not None and head.c == "[":
+        text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"), "_metadata.file_path").where("value <> ''")
+        kind = f"array<{PREDICTION}>"
+        whole = F.when(F.col("value").endswith("]"), F.from_json("value", kind))
+        rows = text.select("file_path", F.posexplode(F.coalesce(whole, bad.cast(kind))).alias("place", "v"))
+        rows = rows.select("file_path", F.lit(0).cast("bigint").alias("at"), F.col("place").cast("bigint").alias("place"), "v")
+    else:
+        parsed = lines.withColumn("d", F.from_json("value", PREDICTION))
+        v = F.when(F.col("d.image_id").isNotNull(), F.col("d")).otherwise(bad.cast(PREDICTION))  # what can't be parsed has nulls only
+        rows = parsed.select("file_path", F.col("file_block_start").alias("at"), F.monotonically_increasing_id().alias("place"), v.alias("v"))
+    number = row_numbers(rows, [], [F.col("file_path"), F.col("at"), F.col("place")], "n").select((F.col("n") - 1).alias("det_id"), "v.*")
+    return number.select("det_id", _id("image_id").alias("image_id"), _id("category_id").alias("category_id"), *[F.get("bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh")], "score")
 
 
 def read_export(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "valid", "test")) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,10 +151,21 @@ def file_listing(spark: SparkSession, folder: str, size_of=None) -> DataFrame:
 
 
 def header_size(content: bytes) -> tuple[int, int] | None:
-    """Width and height by the header of a PNG or JPEG file; None for anything else."""
-    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
-        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
-    if content[:2] != b"\xff\xd8":
+    """Width and height of a PNG or JPEG file that is all there: each chunk of a PNG with its checksum up to the end mark,
+    the markers of a JPEG up to its scan, and its end mark. None for anything else; pixels are not decoded."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        at, size = 8, None
+        while at + 12 <= len(content):
+            n, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+            if at + 12 + n > len(content) or zlib.crc32(content[at + 4 : at + 8 + n]) != int.from_bytes(content[at + 8 + n : at + 12 + n], "big"):
+                return None
+            if kind == b"IHDR":
+                size = int.from_bytes(content[at + 8 : at + 12], "big"), int.from_bytes(content[at + 12 : at + 16], "big")
+            if kind == b"IEND":
+                return size
+            at += 12 + n
+        return None
+    if content[:2] != b"\xff\xd8" or content.rstrip(b"\0")[-2:] != b"\xff\xd9":
         return None
     i = 2
     while i + 9 <= len(content):
@@ -141,6 +178,23 @@ def header_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
+def crops(spark: SparkSession, folder: str, tiles: DataFrame, cut: Callable[[bytes, int, int, int, int], bytes], out: str) -> int:
+    """Tiles cut out of their images and written below out; how many. cut(bytes, x, y, w, h) gives the tile's bytes, by
+    whatever image library there is. tiles: source_file_name, file_name, patch_x, patch_y, width, height."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = files.select(F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1).alias("source_file_name"), "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                p = Path(out, r.file_name)
+                p.parent.mkdir(parents=True, exist_ok=True)
+                p.write_bytes(cut(bytes(r.content), int(r.patch_x), int(r.patch_y), int(r.width), int(r.height)))
+            yield pd.DataFrame({"n": [len(f)]})
+
+    return tiles.join(named, "source_file_name").mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_class_map(spark: SparkSession, path: str) -> DataFrame:
     """(idx, category_id) of a class map file, whichever of its two key names it has."""
     text = spark.read.text(path, wholetext=True)
@@ -176,15 +230,45 @@ def save_json(data: object, path: str | Path) -> None:
     Path(path).write_text(json.dumps(data, ensure_ascii=False, indent=2), encoding="utf-8")
 
 
-def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame, info: dict | None = None) -> dict:
-    """A COCO document as Python objects, for exports that other tools read; it must fit the driver as it must fit them."""
-    rows = lambda d: [r.asDict(recursive=True) for r in d.collect()]
-    boxed = annotations.select(F.col("ann_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area") if "area" not in annotations.columns else F.col("area"), F.coalesce("iscrowd", F.lit(0)).alias("iscrowd") if "iscrowd" in annotations.columns else F.lit(0).alias("iscrowd"))
-    return {"info": info or {}, "images": rows(images.withColumnRenamed("image_id", "id").orderBy("id")), "annotations": rows(boxed.orderBy("id")), "categories": rows(categories.orderBy("id"))}
-
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, info: dict | None = None) -> int:
+    """A COCO document, streamed to the file by one task from rows sorted by id; how many rows it has.
 
-def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, info: dict | None = None) -> None:
-    save_json(coco_document(images, annotations, categories, info), path)
+    images: id (or image_id), file_name, ...; annotations: id, image_id, category_id, bbox, ..., or as a Dataset has them;
+    categories: id, ... Columns that are null are left out. Nothing is collected; for a dataset that no single file should
+    hold see write_coco_lines.
+    """
+    images = images if "id" in images.columns else images.withColumnRenamed("image_id", "id")
+    if "ann_id" in annotations.columns:
+        area = F.coalesce("area", F.col("w") * F.col("h")) if "area" in annotations.columns else F.col("w") * F.col("h")
+        crowd = F.coalesce("iscrowd", F.lit(0)) if "iscrowd" in annotations.columns else F.lit(0)
+        annotations = annotations.select(F.col("ann_id").alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), area.alias("area"), crowd.alias("iscrowd"))
+    row = lambda d, k: d.select(F.lit(k).alias("k"), F.col("id").cast("bigint").alias("id"), F.to_json(F.struct(*d.columns)).alias("v"))
+    rows = row(images, 0).unionByName(row(annotations, 1)).unionByName(row(categories, 2)).repartition(1).sortWithinPartitions("k", "id", "v")
+    head = json.dumps(info or {}, ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Path(f"{path}.{os.getpid()}.part")  # moved when complete, so a task that runs again leaves no half
+        own.parent.mkdir(parents=True, exist_ok=True)
+        names, at, n, fresh = ("images", "annotations", "categories"), -1, 0, True
+        with own.open("w", encoding="utf-8") as f:
+            f.write('{\n"info": ' + head)
+
+            def upto(k: int) -> None:
+                nonlocal at, fresh
+                while at < k:
+                    at, fresh = at + 1, True
+                    f.write(("\n]" if at else "") + (f',\n"{names[at]}": [' if at < 3 else "\n}\n"))
+
+            for b in batches:
+                for k, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    upto(k)
+                    f.write(("\n" if fresh else ",\n") + v)
+                    fresh, n = False, n + 1
+            upto(3)
+        os.replace(own, path)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_coco_lines(images: DataFrame, annotations: DataFrame, path: str) -> None:

@@ -70,6 +70,11 @@ class Tracker:
         if self.enabled:
             compare.loggable(metrics).write.mode("append").parquet(f"{self.root}/metrics")
 
+    def log_table(self, run: str | None, name: str, rows: DataFrame) -> None:
+        """Rows of any form, as a table of its own for each name and run."""
+        if self.enabled and run is not None:
+            rows.write.mode("append").parquet(f"{self.root}/tables/{_clean(name)}/run_id={run}")
+
     def artifacts(self, run: str | None, path: str) -> None:
         """A file, or all files of a folder, by name and size."""
         if not self.enabled or run is None:

@@ -1,4 +1,5 @@
 import json
+import zlib
 from pathlib import Path
 
 import pytest
@@ -12,6 +13,13 @@ from boxloom.sources import files
 CATS = [{"id": 1, "name": "a"}, {"id": 2, "name": "b"}, {"id": 3, "name": "unused"}]
 
 
+def png(w, h, note):
+    """A PNG file of that size, with a note so that contents differ."""
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    rows = zlib.compress(b"".join(b"\0" + b"\0" * w for _ in range(h)))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"tEXt", b"note\0" + note.encode()) + chunk(b"IDAT", rows) + chunk(b"IEND", b"")
+
+
 @pytest.fixture
 def export(tmp_path):
     """Two images of one photo in different splits, others alone; one box over the border, one outside."""
@@ -24,7 +32,7 @@ def export(tmp_path):
             k += 2
             p = root / s / n
             p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (100).to_bytes(4, "big") * 2 + n.encode())
+            p.write_bytes(png(100, 100, n))
         files.save_json({"images": images, "annotations": anns, "categories": CATS}, root / s / "_annotations.coco.json")
     return root
 
@@ -84,3 +92,54 @@ def test_tile_and_merge(spark, tmp_path):
     per = {r.image_id: r.boxes for r in views.per_image(d.images, views.plain_view(d.annotations, views.category_index(d.categories)), ("x", "label")).collect()}
     assert [(b.ann_id, b.x, b.label) for b in per[10]] == [(5, 40.0, 0)] and per[11] == []
     assert Path(tmp_path / "t/images").exists() and F is not None
+
+
+def test_tile_predict_merge_evaluate(spark, tmp_path):
+    """Each command reads what the one before wrote; no detection is lost on the way."""
+    boxes = [(1, 1, [10, 10, 40, 40]), (2, 1, [100, 80, 30, 30]), (3, 2, [150, 20, 40, 60]), (4, 2, [20, 100, 50, 50])]
+    doc = {"images": [{"id": 1, "file_name": "a.jpg", "width": 200, "height": 160}, {"id": 2, "file_name": "b.jpg", "width": 200, "height": 160}], "annotations": [{"id": k, "image_id": i, "category_id": 1, "bbox": b} for k, i, b in boxes], "categories": CATS}
+    files.save_json(doc, tmp_path / "a.json")
+    commands.tile(spark, str(tmp_path / "a.json"), str(tmp_path / "t"), patch=128, overlap=0.5, min_visible=0.99)
+    tiles = json.loads((tmp_path / "t/annotations.json").read_text())
+    assert tiles["info"] == {"description": "tiles"} and len(tiles["categories"]) == 3 and [i["id"] for i in tiles["images"]] == list(range(1, len(tiles["images"]) + 1))
+    pred = [{"image_id": a["image_id"], "category_id": a["category_id"], "bbox": a["bbox"], "score": 0.5 + a["id"] / 1000} for a in tiles["annotations"]]
+    assert len(pred) > len(boxes)
+    (tmp_path / "p").mkdir()
+    for k in range(3):
+        (tmp_path / f"p/{k}.json").write_text(json.dumps(pred[k::3]))
+    read = files.read_predictions(spark, str(tmp_path / "p")).orderBy("det_id").collect()
+    assert [r.det_id for r in read] == list(range(len(pred))) and [r.score for r in read] == [p["score"] for k in range(3) for p in pred[k::3]]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        for patches in ("t/annotations.json", "t"):
+            assert commands.merge(spark, str(tmp_path / patches), str(tmp_path / "p"), str(tmp_path / "m")) == len(boxes)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(list((tmp_path / "m").glob("part-*"))) == len(boxes)
+    payload = commands.measure(spark, str(tmp_path / "a.json"), str(tmp_path / "m"), str(tmp_path / "r/metrics.json"))
+    assert (payload["metrics"]["overall_tp"], payload["metrics"]["overall_fp"], payload["metrics"]["overall_fn"]) == (len(boxes), 0, 0)
+    assert main(["run", "--gt", str(tmp_path / "a.json"), "--predictions", f"yolo={tmp_path}/m", "--out", str(tmp_path / "all")], spark) == 0
+    assert json.loads((tmp_path / "all/yolo/metrics.json").read_text()) == payload and (tmp_path / "all/comparison/comparison.md").exists()
+    for text in ('[{"image_id": 1}', '{"image_id": 1}\nnonsense', '[{"image_id": 1}] more'):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(Exception, match="not a detection"):
+            files.read_predictions(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "none.json").write_text("")
+    assert files.read_predictions(spark, str(tmp_path / "none.json")).count() == 0
+    stray = [{"image_id": 77, "category_id": 1, "bbox": [0, 0, 5, 5], "score": 0.5}]
+    (tmp_path / "stray.json").write_text(json.dumps(stray))
+    with pytest.raises(Exception, match="unknown image_id"):
+        commands.measure(spark, str(tmp_path / "a.json"), str(tmp_path / "stray.json"), str(tmp_path / "r2/metrics.json"))
+
+
+def test_missing_image_file(spark, export, tmp_path):
+    (export / "valid" / "x_jpg.rf.bb.jpg").unlink()
+    with pytest.raises(FileNotFoundError, match="x_jpg.rf.bb.jpg"):
+        commands.prepare_export(spark, str(export), str(tmp_path / "o"))
+
+
+def test_truncated_image_is_unreadable():
+    whole = png(30, 20, "x")
+    assert files.header_size(whole) == (30, 20)
+    assert [files.header_size(whole[:k]) for k in (30, len(whole) - 20, len(whole) - 1)] == [None] * 3
+    assert files.header_size(whole.replace(b"note", b"nope")) is None

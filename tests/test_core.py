@@ -39,7 +39,7 @@ def test_heavy_keys(spark):
 
 
 def test_states_stitch_over_borders(spark):
-    s = spark.createDataFrame([(0, 1, 5, 2, 10, 11, 3.0, 2), (1, 1, 4, 1, 11, 11, 1.0, 1), (2, 1, 2, 2, 11, 12, 0.0, 0), (2, 2, 1, 0, None, None, 0.0, 0)], heavy_keys.STATE)
+    s = spark.createDataFrame([(0, False, 1, 5, 2, 10, 11, 3.0, 2), (1, False, 1, 4, 1, 11, 11, 1.0, 1), (2, False, 1, 2, 2, 11, 12, 0.0, 0), (2, False, 2, 1, 0, None, None, 0.0, 0), (2, True, 0, 9, 0, None, None, 0.0, 0)], heavy_keys.STATE)
     assert {tuple(r) for r in heavy_keys.stitch(s).collect()} == {(1, 11, 3, 4.0 / 3), (2, 1, 0, None)}
 
 
@@ -50,23 +50,28 @@ def test_orphans(spark):
         [(1, 1, 7, None, None, 0, T[4], 0), (1, 9, 9, None, None, 0, T[5], 0), (2, 2, 7, None, None, 0, T[3], 0), (3, 3, 8, None, None, 0, T[3], 0), (4, 1, None, None, None, 0, T[9], 0), (5, None, 7, None, None, 0, T[9], 0), (6, 1, 7, None, None, 0, T[8], 0)],
         ANN,
     )
-    got = {(r.id, r.ref_field, r.reason) for r in referential.annotation_orphans(ann, images, cats).collect()}
-    assert got == {(2, "image_id", "late"), (3, "image_id", "missing"), (3, "category_id", "missing"), (4, "image_id", "deleted"), (6, "image_id", "deleted")}
-    scale = spark.createDataFrame([(3, T[3].date()), (3, T[4].date()), (1, T[3].date()), (None, T[1].date())], "annotation_id long, measured_on date")
-    report = {(r.table_name, r.ref_table, r.month, r.reason): r.n for r in referential.orphan_report(spark, ann, images, cats, scale).collect()}
-    assert report["annotations_scale", "annotations", "2025-01", "inherited"] == 1
-    assert report["annotations", "images", "2025-01", "deleted"] == 2
-    assert referential.annotation_orphans(ann.limit(0), images, cats).count() == 0
-    assert referential.annotation_orphans(ann, images.limit(0), cats).where("reason = 'missing'").count() == 6
+    day = lambda k: T[k].date()
+    # of one measured on the day its annotation came; orphaned by its annotation; of an unknown annotation and image; before its annotation came
+    scale = spark.createDataFrame([(3, day(3), 1), (3, day(4), 9), (1, day(4), 1), (None, day(1), 1), (50, day(3), 9), (6, day(3), 1)], "annotation_id long, measured_on date, image_id long")
+    found = referential.orphans(spark, ann, images, cats, scale)
+    got = {(r.table_name, r.id, r.ref_table, r.reason, r.level) for r in found.collect()}
+    assert got == {
+        ("annotations", 2, "images", "late", 0), ("annotations", 3, "images", "missing", 0), ("annotations", 3, "categories", "missing", 0), ("annotations", 4, "images", "deleted", 0), ("annotations", 6, "images", "deleted", 0),
+        ("annotations_scale", 3, "annotations", "inherited", 1), ("annotations_scale", 50, "annotations", "missing", 0), ("annotations_scale", 50, "images", "missing", 0), ("annotations_scale", 6, "annotations", "late", 0),
+    }
+    report = {(r.table_name, r.ref_table, r.month, r.reason): r.n for r in referential.orphan_report(found).collect()}
+    assert report["annotations_scale", "annotations", "2025-01", "inherited"] == 1 and report["annotations", "images", "2025-01", "deleted"] == 2
+    assert referential.orphans(spark, ann.limit(0), images, cats, scale.limit(0)).count() == 0
+    assert referential.orphans(spark, ann, images.limit(0), cats, scale).where("table_name = 'annotations' and reason = 'missing'").count() == 6
 
 
 def test_cascade_ends_on_cycles(spark):
-    rows = {"a": spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9), (5, 5)], "id long, up long")}
-    refs = [referential.Reference("a", "up", "a")]
-    found, _ = referential.cascade(spark, rows, refs, {"a": spark.createDataFrame([(1,)], "id long")})
-    assert {(r.id, r.level) for r in found["a"].collect()} == {(1, 0), (2, 1), (3, 2)}
-    found, _ = referential.cascade(spark, rows, refs, {"a": spark.createDataFrame([(5,)], "id long")})
-    assert {(r.id, r.level) for r in found["a"].collect()} == {(5, 0)}
+    rows = {"a": spark.createDataFrame([(1, None, 8), (2, 1, None), (3, 2, None), (4, 9, None), (5, 5, 8), (6, 7, None), (7, 6, None)], "id long, up long, other long").withColumn("at", F.lit(T[1]))}
+    refs = [referential.Reference("a", "up", "a"), referential.Reference("a", "other", "b")]
+    history = {"b": spark.createDataFrame([(9, T[0], None)], "key long, first_seen timestamp, deleted_at timestamp")}
+    found = referential.cascade(spark, rows, refs, history)
+    assert {(r.id, r.level) for r in found["a"].collect()} == {(1, 0), (2, 1), (3, 2), (5, 0)}
+    assert referential.cascade(spark, rows, refs, {})["a"].count() == 0
 
 
 def test_running_sums(spark):
@@ -97,10 +102,10 @@ def test_group_key_and_split(spark):
         s = {x.grp: x.split for x in prepare.group_split(images, ann, {"train": 0.5, "val": 0.25, "test": 0.25}, 42, order).collect()}
         assert set(s) == {"same", "other-a", "other-b"} and s["same"] == "train"
     many = spark.createDataFrame([(i, f"g{i}") for i in range(400)], "image_id long, grp string")
-    split = [x.split for x in prepare.group_split(many, ann.limit(0), fold=90).collect()]
+    split = [x.split for x in prepare.group_split(many, ann.limit(0)).collect()]
     assert len(split) == 400 and abs(split.count("train") / 400 - 0.75) < 0.03
     with pytest.raises(ValueError):
-        prepare.deal([], {"train": 0.5, "val": 0.2, "test": 0.2})
+        prepare.group_split(many, ann, {"train": 0.5, "val": 0.2, "test": 0.2})
 
 
 def test_tiles_equal_nested_loop(spark):

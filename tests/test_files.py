@@ -1,5 +1,6 @@
 import json
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,10 +62,11 @@ def test_export_needs_equal_class_maps(spark, tmp_path):
 def test_listing_and_placing(spark, tmp_path):
     src = tmp_path / "src"
     (src / "s").mkdir(parents=True)
-    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 30, 20)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">II", 30, 20) + bytes([8, 0, 0, 0, 0])) + chunk(b"IEND", b"")
     (src / "s/a.png").write_bytes(png)
     (src / "bad.jpg").write_bytes(b"\xff\xd8oops")
-    jpg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 11, 22) + b"\0" * 10
+    jpg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 11, 22) + b"\0" * 10 + b"\xff\xd9"
     (src / "c.jpg").write_bytes(jpg)
     got = {r.file_name: (r.width, r.height) for r in files.file_listing(spark, str(src)).collect()}
     assert got == {"s/a.png": (30, 20), "bad.jpg": (None, None), "c.jpg": (22, 11)}

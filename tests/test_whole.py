@@ -97,20 +97,38 @@ def test_violations_of_superseded_rows(spark, tmp_path):
     assert got == [("annotation_id_repeated", "5", "2"), ("annotation_id_repeated", "5", "3"), ("box_empty", "5", ""), ("box_exceeds", "5", ""), ("box_starts_outside", "5", ""), ("image_unknown", "5", "9")]
 
 
-def test_split_is_one_rule_at_all_sizes(spark):
+def test_split_of_groups(spark):
+    """Every group has one split; images and each class come out in the ratios, whatever the sizes of the groups."""
     r = random.Random(8)
-    images = [(i, f"g{min(int(r.expovariate(0.01)), 700)}") for i in range(1500)]
-    ann = [(k, r.randrange(1500), r.choice([1, 1, 1, 2, 2, 3, 4])) for k in range(4000)]
-    of, classes, n, first = dict(images), {}, Counter(g for _, g in images), {}
-    for i, g in images:
-        first.setdefault(g, i)
-    for _, i, c in ann:
-        classes.setdefault(of[i], Counter())[c] += 1
-    groups = [(g, n[g], first[g], dict(sorted(classes.get(g, {}).items()))) for g in n]
+    images = [(i, f"g{min(int(r.expovariate(0.003)), 1500)}") for i in range(6000)] + [(i, "hot") for i in range(6000, 9000)]
+    ann = [(k, r.randrange(9000), r.choice([1, 1, 1, 2, 2, 3, 4])) for k in range(20000)]
+    of = dict(images)
     a, b = spark.createDataFrame(images, "image_id long, grp string").repartition(5), spark.createDataFrame(ann, "ann_id long, image_id long, category_id long")
-    for fold in (50, 2_000_000):
-        assert {tuple(x) for x in prepare.group_split(a, b, fold=fold).collect()} == set(prepare.deal(groups))
-    assert {tuple(x) for x in prepare.group_split(a, b, order="mt").collect()} == set(prepare.deal(groups, order="mt"))
-    with pytest.raises(ValueError):
-        prepare.group_split(a, b, order="mt", fold=50)
+    got = {x.grp: x.split for x in prepare.group_split(a, b).collect()}
+    assert set(got) == set(of.values()) and {x.grp: x.split for x in prepare.group_split(a.repartition(3), b).collect()} == got
+    n = Counter(got[g] for _, g in images)
+    per = {c: Counter(got[of[i]] for _, i, k in ann if k == c) for c in (1, 2, 3, 4)}
+    for split, share in prepare.RATIOS.items():
+        assert abs(n[split] / len(images) - share) < 0.01
+        assert all(abs(v[split] / sum(v.values()) - share) < 0.08 for v in per.values())
     assert prepare.group_split(a.limit(0), b).count() == 0
+
+
+def test_seeded_order_is_bounded(spark):
+    images = [(i, f"g{i % 40}") for i in range(300)]
+    a, b = spark.createDataFrame(images, "image_id long, grp string"), spark.createDataFrame([(1, 5, 2)], "ann_id long, image_id long, category_id long")
+    groups = [(f"g{k}", sum(1 for i, g in images if g == f"g{k}"), k, {2: 1} if k == 5 else {}) for k in range(40)]
+    assert {tuple(x) for x in prepare.group_split(a, b, order="mt").collect()} == set(prepare.least_full(groups))
+    with pytest.raises(ValueError):
+        prepare.group_split(a, b, order="mt", fold=20)
+
+
+def test_apportionment_adds_up():
+    from boxloom.operators import deal
+
+    r = random.Random(1)
+    for _ in range(300):
+        want = [r.randrange(-5, 10**9) for _ in range(3)]
+        m = r.randrange(1, 10**6)
+        n = deal.apportion(m, m * r.randrange(1, 50), want)
+        assert sum(n) == m and min(n) >= 0 and math.gcd(deal.stride(m), m) == 1
