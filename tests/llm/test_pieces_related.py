@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -59,6 +60,27 @@ def test_pieces_hold_boxes(spark):
         pieces.axis_pieces(I, A, overlap=1280)
 
 
+def test_ranges_are_cut_by_themselves():
+    """Ranges of a long axis, each from its own boxes and the halo alone, against the rules of pieces."""
+    r = random.Random(6)
+    for turn in range(400):
+        length, span = r.randrange(1281, 12000), r.choice([2560, 3000, 4096])
+        boxes = []
+        for _ in range(r.randrange(40)):
+            a = r.choice([r.randrange(length), r.uniform(0, length - 1), r.randrange(0, length, 50)])
+            boxes.append((float(a), float(min(length, a + r.choice([1280, 1279.5, r.uniform(1, 1280), 5])))))
+        boxes = [(a, b) for a, b in boxes if a < b]
+        own = {}
+        for a, b in boxes:
+            own.setdefault(min((math.ceil(b) - 1) // span, (length - 1) // span), []).append((b, a))
+        at = []
+        for k in range((length - 1) // span + 1):
+            halo = [(a, b) for b, a in own.get(k + 1, []) if a < (k + 1) * span]
+            at += pieces._range_pieces(k * span, length, sorted(own.get(k, [])), halo, 1280, 128, span)
+        assert at[0] == 0 and at[-1] + 1280 == length and all(y > x and x + 1280 - y >= 128 for x, y in zip(at, at[1:], strict=False)), turn
+        assert all(any(x <= a and b <= x + 1280 for x in at) for a, b in boxes), turn
+
+
 @pytest.mark.parametrize(
     ("text", "key"),
     [("norrvik-2501-00101", "norrvik-2501-101"), (" NORRVIK--2501-00101\t", "norrvik-2501-101"), ("Norrvik 2501 101", "norrvik-2501-101"), ("n/a", None), ("", None), (None, None), ("TBD", None), ("-", None), ("unknown", None), (" ", None)],
