@@ -169,9 +169,9 @@ def axis_pieces(images: DataFrame, annotations: DataFrame, limit: int = LIMIT, o
     return out.select("image_id", "axis", "length", (F.col("before") + F.col("i")).alias("piece"), "start", F.least(F.col("start") + limit, F.col("length").cast("double")).alias("stop"), "cut")
 
 
-def image_pieces(images: DataFrame, annotations: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def image_pieces(images: DataFrame, annotations: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE) -> DataFrame:
     """(image_id, x, y, width, height) of the pieces of each oversized image: every piece of one axis by every of the other."""
-    p = axis_pieces(images, annotations, limit, overlap).select("image_id", "axis", "start", "stop")
+    p = axis_pieces(images, annotations, limit, overlap, span).select("image_id", "axis", "start", "stop")
     side = latest_images(images).where((F.col("width") > limit) | (F.col("height") > limit))
     short = lambda axis, n: side.where(F.col(n) <= limit).select("image_id", F.lit(axis).alias("axis"), F.lit(0.0).alias("start"), F.col(n).cast("double").alias("stop"))
     every = p.unionByName(short("x", "width")).unionByName(short("y", "height"))

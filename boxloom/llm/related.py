@@ -9,15 +9,15 @@ roots. At least half of the vertices go in each round. Each round's tables are w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm.names import session_key_udf, source_key_udf
-from boxloom.plans.shared import Scratch, bounded, table
+from boxloom.operators.deal import dealt
+from boxloom.plans.shared import Scratch, table
 
 SPLITS = (("train", 0.75), ("val", 0.15), ("test", 0.10))
-LARGE = 1000  # a set with at least 1 / LARGE of all records is dealt by itself; there are at most LARGE of these
-MAX_PARTITIONS = 200_000  # of the table that counts sets by partition and band, before it is broadcast
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -76,8 +76,11 @@ def spanning_forest(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame |
     return s.cut(tree.distinct()), roots, s
 
 
-def related_sets(spark: SparkSession, images: DataFrame, ident: str = "id", session: str = "source_group", source: str = "source_file_name") -> DataFrame:
-    """(image_id, first_image_id) of every id: the smallest id of its related set.
+def related_sets(spark: SparkSession, images: DataFrame, ident: str = "id", session: str = "source_group", source: str = "source_file_name", keep: str | None = None) -> DataFrame:
+    """(image_id, first_image_id, set_size) of every id: the smallest id of its related set.
+
+    keep: a folder in which the spanning forest stays, as Parquet: forest (oa, ob), the edges between representatives of
+    names that hold the sets together, and roots (vertex, root).
 
     A null, blank or placeholder name relates nothing, so a record with none is a set of its own. All rows of an id
     count, repeated or contradictory. Null ids are left out; an empty table gives no rows.
@@ -91,7 +94,10 @@ def related_sets(spark: SparkSession, images: DataFrame, ident: str = "id", sess
     own = rep.select(F.col("id").alias("a"), F.coalesce("a", "b").alias("b"))  # several rows of one id tie it to each
     multi = rep.groupBy("id").agg(F.min(F.coalesce("a", "b", "id")).alias("lo"), F.max(F.coalesce("a", "b", "id")).alias("hi")).where("lo <> hi").select("id")
     edges = rep.select("a", "b").unionByName(own.join(multi.withColumnRenamed("id", "a"), "a", "left_semi"))
-    _, roots, _ = spanning_forest(spark, edges)
+    tree, roots, _ = spanning_forest(spark, edges)
+    if keep is not None and tree is not None:
+        tree.write.mode("overwrite").parquet(f"{keep}/forest")
+        roots.write.mode("overwrite").parquet(f"{keep}/roots")
     vertex = F.coalesce("a", "b", "id")
     member = rep.select("id", vertex.alias("vertex"))
     member = member.withColumn("root", F.col("vertex")) if roots is None else member.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
@@ -100,52 +106,30 @@ def related_sets(spark: SparkSession, images: DataFrame, ident: str = "id", sess
     return member.join(least, "root").select(F.col("id").alias("image_id"), "first_image_id", "set_size")
 
 
-def deal(spark: SparkSession, sets: DataFrame, splits: tuple[tuple[str, float], ...] = SPLITS) -> DataFrame:
-    """(first_image_id, split) of every set, given (first_image_id, set_size).
+def assign_splits(spark: SparkSession, images: DataFrame) -> DataFrame:
+    """(image_id, first_image_id, split): related images always share a split.
 
-    Sets with at least 1 / LARGE of all records, at most LARGE of them, go one by one, largest first, to the split that
-    lacks most. The others are stratified by size band (powers of two), ordered in it by a hash, and dealt
-    systematically: the i-th of a band falls where i's position in a fixed rotation falls in the shares that the large
-    sets have left to each split.
+    Sets are stratified by the band of their size and dealt systematically (operators/deal.py), all by one rule.
     """
-    s = Scratch(spark, "deal")
-    total = sets.agg(F.sum("set_size")).first()[0] or 0
-    border = max(1, total // LARGE)
-    want = {n: share * total for n, share in splits}
-    large = sets.where(F.col("set_size") > border).orderBy(F.col("set_size").desc(), "first_image_id").collect()  # fewer than LARGE + 1
-    chosen = []
-    for r in large:
-        to = max(want, key=lambda n: want[n] / max(dict(splits)[n], 1e-9))
-        want[to] -= r.set_size
-        chosen.append((r.first_image_id, to))
-    rest = {n: max(0.0, w) for n, w in want.items()}
-    whole = sum(rest.values()) or 1.0
-    band = F.floor(F.log2("set_size")).cast("int")
-    small = sets.where(F.col("set_size") <= border).select("first_image_id", band.alias("band"), F.xxhash64("first_image_id").alias("h"))
-    local = F.monotonically_increasing_id()
-    ordered = small.repartitionByRange("band", "h", "first_image_id").sortWithinPartitions("band", "h", "first_image_id")
-    ordered = s.cut(ordered.select("first_image_id", "band", F.spark_partition_id().alias("pid"), local.bitwiseAND((1 << 33) - 1).alias("i")))
-    w = Window.partitionBy("band").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ordered.groupBy("band", "pid").agg(F.count("*").alias("n"), F.min("i").alias("first_i"))
-    offset = s.cut(counts.select("band", "pid", "first_i", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")))
-    rank = ordered.join(F.broadcast(offset) if bounded(offset, MAX_PARTITIONS) else offset, ["band", "pid"]).withColumn("rank", F.col("i") - F.col("first_i") + F.col("before"))
-    # multiples of the golden ratio's fraction fill every share evenly from any start
-    spot = F.pmod((F.col("rank") + F.lit(0.5)) * F.lit(0.6180339887498949) + F.col("band") * F.lit(0.37), F.lit(1.0))
-    to, edge = None, 0.0
-    for n, _ in splits[:-1]:
-        edge += rest[n] / whole
-        to = F.when(spot < edge, n) if to is None else to.when(spot < edge, n)
-    dealt = rank.select("first_image_id", to.otherwise(splits[-1][0]).alias("split"))
-    return dealt.unionByName(spark.createDataFrame(chosen, "first_image_id bigint, split string")) if chosen else dealt
+    member = Scratch(spark, "sets").cut(related_sets(spark, images))
+    sets = member.select("first_image_id", "set_size").distinct()
+    return member.join(dealt(sets, "first_image_id", "set_size", [], dict(SPLITS)), "first_image_id").select("image_id", "first_image_id", "split")
 
 
-def assign_splits(spark: SparkSession, images: DataFrame) -> DataFrame:
-    """(image_id, first_image_id, split): related images always share a split."""
-    member = related_sets(spark, images)
-    s = Scratch(spark, "sets")
-    member = s.cut(member)
-    sets = s.cut(member.select("first_image_id", "set_size").distinct())
-    return member.join(deal(spark, sets), "first_image_id").select("image_id", "first_image_id", "split")
+def forest_edges(spark: SparkSession, images: DataFrame) -> DataFrame:
+    """(image_id_a, image_id_b) of the spanning forest, read back from where it is kept: each set's ties, one less than the
+    representatives it has. An edge joins images that name the same session or source file as one image does."""
+    folder = f"{Scratch(spark, 'kept').root}/tree"
+    related_sets(spark, images, keep=folder)
+    try:
+        tree = spark.read.parquet(f"{folder}/forest")
+    except AnalysisException:  # no image is related to another
+        return spark.createDataFrame([], "image_id_a bigint, image_id_b bigint")
+    return tree.select(F.col("oa").alias("image_id_a"), F.col("ob").alias("image_id_b"))
+
+
+def p2_forest(spark, sf_dir: str) -> DataFrame:
+    return forest_edges(spark, table(spark, sf_dir, "images"))
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
@@ -157,4 +141,4 @@ def p2_splits(spark, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {}
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest}

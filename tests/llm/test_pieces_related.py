@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from boxloom.llm import names, overlap, pieces, related
+from boxloom.operators.deal import dealt
 
 NOW = datetime(2025, 1, 1)
 IMG = "id long, file_name string, width int, height int, source_file_name string, source_split string, source_group string, received_at timestamp, deleted_at timestamp, start double"
@@ -53,7 +54,7 @@ def test_pieces_hold_boxes(spark):
     assert pieces.axis_pieces(I.limit(0), A).count() == 0
     assert pieces.axis_pieces(I, A.limit(0)).where("cut = 'forced'").count() == 0
     cover = defaultdict(set)
-    for p in pieces.image_pieces(I, A).collect():
+    for p in pieces.image_pieces(I, A, span=4096).collect():
         cover[p.image_id].add((p.x, p.y, p.width, p.height))
     assert all(len(cover[i]) == len(got.get((i, "x"), [0])) * len(got.get((i, "y"), [0])) for i in {k for k, _ in want})
     with pytest.raises(ValueError):
@@ -153,13 +154,25 @@ def test_related_sets_and_splits(spark):
         by[x.first_image_id].add(x.split)
     assert all(len(v) == 1 for v in by.values()) and len(s) == len(got)
     assert related.related_sets(spark, df.limit(0)).count() == 0
+    tree = [(x.image_id_a, x.image_id_b) for x in related.forest_edges(spark, df).collect()]
+    up = {i: i for i in got}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in tree:
+        assert got[a] == got[b] and top(a) != top(b)  # no cycle
+        up[top(a)] = top(b)
+    assert related.forest_edges(spark, df.limit(0)).count() == 0
 
 
 def test_deal_keeps_proportions(spark):
     r = random.Random(1)
     sizes = [1500, 300, 200, 60] + [r.choice([1, 1, 1, 2, 3, 5, 8]) for _ in range(3000)]
     sets = spark.createDataFrame(list(enumerate(sizes)), "first_image_id long, set_size long")
-    got = related.deal(spark, sets).collect()
+    got = dealt(sets, "first_image_id", "set_size", [], dict(related.SPLITS)).collect()
     n = Counter()
     for x in got:
         n[x.split] += sizes[x.first_image_id]
@@ -189,3 +202,28 @@ def test_overlap(spark):
     rep = {(x.source_split, x.source_group): (x.n_stills, x.n_pairs) for x in overlap.overlap_report(df).collect()}
     assert rep["test", "g-1"][0] == 1 and sum(v[1] for v in rep.values()) == len(got)
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
+    members = {(x.image_id, x.side): (x.class_id, x.n_links) for x in overlap.Overlap(df).members().collect()}
+    for (i, side), (_, n) in members.items():
+        assert n == len([p for p in got if p[side == "eval"] == i])
+    assert {i for i, side in members if side == "eval"} == {b for _, b in got} and {i for i, side in members if side == "train"} == {a for a, _ in got}
+
+
+def test_segments_lose_no_pair(spark):
+    """The blocks of the fingerprint against all pairs of names: recall is one, and links are counted as pairs are."""
+    r = random.Random(12)
+    sites, views = ["norrvik", "mirowitz", "calderham", "norrvick"], ["sparcap", "elevator", "sparcup"]
+
+    def slip(w):
+        k = r.randrange(len(w) - 1)
+        return r.choice([w, w[:k] + w[k + 1 :], w[:k] + r.choice("abcxyz") + w[k:], w[:k] + r.choice("abcxyz") + w[k + 1 :], w[:k] + w[k + 1] + w[k] + w[k + 2 :]])
+
+    rows = [img(i % 560, name=f"{slip(r.choice(sites))}_{slip(r.choice(views))}_c{r.randrange(2)}_{r.randrange(3):04d}.jpg", split=r.choice(["train", "valid", "test"])) for i in range(600)]
+    df = spark.createDataFrame(rows, IMG)
+    side = {True: set(), False: set()}
+    for x in rows:
+        side[x[5] == "train"].add((x[0], names.shot(x[1])))
+    want = {(a, b) for a, s in side[True] for b, t in side[False] if a != b and s[2:] == t[2:] and names.slips(s[0], t[0], 2) <= 2 and names.slips(s[1], t[1], 2) <= 2}
+    o = overlap.Overlap(df)
+    assert {(x.train_id, x.eval_id) for x in o.pairs().collect()} == want and len(want) > 5000
+    for which, k in (("train", 0), ("eval", 1)):
+        assert {x.image_id: x.n_links for x in o.linked(which).collect()} == dict(Counter(p[k] for p in want))
