@@ -1,14 +1,19 @@
 """Encoding a corpus with a public byte-level BPE vocabulary, in batched numpy merge rounds.
 
 The symbols of many different words lie in one flat array. Each round looks up all neighbouring pairs by binary search
-in the sorted pair keys of the merge table, takes the lowest rank of each word by a segmented minimum, and merges all
-its occurrences; words without a pair to merge drop out. A word is encoded once for as long as a worker's memory of
-words lasts, which is bounded.
+in the sorted pair keys of the merge table and merges those of lowest rank; words without a pair to merge drop out. A
+word is encoded once for as long as a worker's memory of words lasts, which is bounded.
+
+The lowest rank is taken of a stretch, not of a whole word, so that the rounds don't grow with the length of a word. No
+token is longer than span bytes. What could come before the merge of a pair of rank r is a chain of merges of lower rank
+that reaches it; it begins at a pair of rank below r, and all its bytes up to the pair become one token, so it begins
+within span bytes. Where no pair within that distance is lower, the pair is merged now as it would be later. Words are cut
+into blocks of span bytes, and a pair is merged if it is the lowest of its block and both neighbours; a short word is one
+block, and its lowest pair is merged, as ever.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,20 +29,21 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the public pattern that parts a text into words for this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int64(1) << 40
-LONG_WORD = 512  # bytes; longer words are encoded one by one with a heap, as rounds over them would be many
 MEMORY = 400_000  # words kept by a worker
 STEP = 4_000_000  # characters of text encoded at a time
 
 
 @dataclass
 class Merges:
-    """byte_ids: id of each byte; keys: sorted left * size + right of the pairs; ranks and made: of each key."""
+    """byte_ids: id of each byte; keys: sorted left * size + right of the pairs; ranks and made: of each key; span: bytes of
+    the longest token."""
 
     size: int
     byte_ids: np.ndarray
     keys: np.ndarray
     ranks: np.ndarray
     made: np.ndarray
+    span: int
 
 
 def _alphabet() -> list[str]:
@@ -56,7 +62,8 @@ def load_merges(path: str = VOCABULARY) -> Merges:
     keys = np.array([ids[a] * size + ids[b] for a, b in pairs], np.int64)
     made = np.array([ids[a + b] for a, b in pairs], np.int32)
     o = np.argsort(keys)
-    return Merges(size, np.array([ids[c] for c in _alphabet()], np.int32), keys[o], o.astype(np.int64), made[o])
+    # every character of a token stands for a byte
+    return Merges(size, np.array([ids[c] for c in _alphabet()], np.int32), keys[o], o.astype(np.int64), made[o], max(map(len, ids)))
 
 
 def _lookup(m: Merges, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,92 +73,68 @@ def _lookup(m: Merges, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray,
     return np.where(m.keys[at] == want, m.ranks[at], NONE), at
 
 
-def _one(m: Merges, word: bytes) -> np.ndarray:
-    """A long word by a heap of pairs: n log n in its length."""
-    sym = m.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-    n = len(sym)
-    nxt, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    table_ = dict(zip(m.keys.tolist(), zip(m.ranks.tolist(), m.made.tolist(), strict=True), strict=True))
-    heap: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = nxt[i]
-        if j < n and (hit := table_.get(sym[i] * m.size + sym[j])):
-            heapq.heappush(heap, (hit[0], i, sym[i], sym[j]))
-
-    for i in range(n):
-        push(i)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = nxt[i]
-        if not alive[i] or j >= n or sym[i] != a or sym[j] != b:
-            continue
-        sym[i], alive[j], nxt[i] = table_[a * m.size + b][1], False, nxt[j]
-        if nxt[j] < n:
-            prev[nxt[j]] = i
-        push(i)
-        if prev[i] >= 0:
-            push(prev[i])
-    return np.array([s for s, x in zip(sym, alive, strict=True) if x], np.int32)
+def _lowest(rank: np.ndarray, word: np.ndarray, byte: np.ndarray, span: int) -> np.ndarray:
+    """Of each symbol the lowest rank in its block of span bytes and the blocks before and after it in its word."""
+    block = byte // span
+    cut = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])])
+    least, of = np.minimum.reduceat(rank, cut), word[cut]
+    near = least.copy()
+    same = of[1:] == of[:-1]  # no block of a word is without a symbol, as none is longer than span
+    near[1:] = np.where(same, np.minimum(near[1:], least[:-1]), near[1:])
+    near[:-1] = np.where(same, np.minimum(near[:-1], least[1:]), near[:-1])
+    return np.repeat(near, np.diff(np.r_[cut, len(rank)]))
 
 
 def encode_words(m: Merges, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after the other, number of ids of each word); no word may be empty."""
-    lens = np.array([len(w) for w in words], np.int64)
-    done: list[np.ndarray | None] = [None] * len(words)
-    for i in np.flatnonzero(lens > LONG_WORD):
-        done[i] = _one(m, words[i])
-    live = np.flatnonzero(lens <= LONG_WORD)
-    sym = m.byte_ids[np.frombuffer(b"".join(words[i] for i in live), np.uint8)]
-    n = lens[live]
+    n = np.array([len(w) for w in words], np.int64)
+    live = np.arange(len(words))
+    sym = m.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+    byte = np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)  # where each symbol begins in its word
     ready: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, their lengths, their symbols
     while len(live):
         ends = np.cumsum(n)
-        begins = ends - n
         rank = np.full(len(sym), NONE)
         rank[:-1], at = _lookup(m, sym[:-1], sym[1:])
+        at = np.r_[at, 0]
         rank[ends - 1] = NONE  # the last symbol of a word has no partner
-        least = np.minimum.reduceat(rank, begins)
-        going = least < NONE
+        going = np.minimum.reduceat(rank, ends - n) < NONE
         if not going.all():
-            stay = np.repeat(~going, n)
-            ready.append((live[~going], n[~going], sym[stay]))
+            keep = np.repeat(going, n)
+            ready.append((live[~going], n[~going], sym[~keep]))
             if not going.any():
                 break
-            keep = ~stay
-            at = np.r_[at, 0][keep]
-            sym, rank, live, n, least = sym[keep], rank[keep], live[going], n[going], least[going]
-        else:
-            at = np.r_[at, 0]
-        hit = rank == np.repeat(least, n)
-        # of pairs that overlap, as in a run of one letter, every other one from the left is merged
-        i = np.flatnonzero(hit)
-        run = np.r_[True, np.diff(i) != 1]
-        first = np.maximum.accumulate(np.where(run, np.arange(len(i)), 0))
-        i = i[(np.arange(len(i)) - first) % 2 == 0]
+            at, sym, rank, byte, live, n = at[keep], sym[keep], rank[keep], byte[keep], live[going], n[going]
+        word = np.repeat(np.arange(len(n)), n)
+        hit = (rank < NONE) & (rank == _lowest(rank, word, byte, m.span))
+        # of pairs that overlap, as in a run of one letter, every other one from the left is merged; a run goes by its first
+        # pair, which must be among those merged, or what comes before it could still shift the others
+        joined = np.r_[False, (rank[1:] == rank[:-1]) & (rank[1:] < NONE) & (word[1:] == word[:-1])]
+        first = np.maximum.accumulate(np.where(joined, 0, np.arange(len(rank))))
+        i = np.flatnonzero(hit & _unbroken(hit, first))
+        i = i[(i - first[i]) % 2 == 0]
         sym = sym.copy()
         sym[i] = m.made[at[i]]
         gone = np.zeros(len(sym), bool)
         gone[i + 1] = True
-        word_of = np.repeat(np.arange(len(n)), n)
-        n = n - np.bincount(word_of[i], minlength=len(n))
-        sym = sym[~gone]
+        n = n - np.bincount(word[i], minlength=len(n))
+        sym, byte = sym[~gone], byte[~gone]
     out_n = np.zeros(len(words), np.int64)
     for w, k, _ in ready:
         out_n[w] = k
-    for i, d in enumerate(done):
-        if d is not None:
-            out_n[i] = len(d)
     start = np.cumsum(out_n) - out_n
     flat = np.empty(int(out_n.sum()), np.int32)
     for w, k, s in ready:
         flat[_spread(start[w], k)] = s
-    for i, d in enumerate(done):
-        if d is not None:
-            flat[start[i] : start[i] + len(d)] = d
     return flat, out_n
 
 
+def _unbroken(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether all pairs of a run, which begins at first, are hits up to and with this one."""
+    missed = np.cumsum(~hit)
+    return (missed == missed[first]) & hit[first]
+
+
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... n[0] of them, then from start[1], and so on."""
     end = np.cumsum(n)

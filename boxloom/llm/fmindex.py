@@ -48,14 +48,18 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 class Bits:
     """A bit vector with rank in constant time."""
 
-    def __init__(self, bits: np.ndarray) -> None:
-        n = len(bits)
-        packed = np.packbits(bits, bitorder="little")
+    def __init__(self, packed: bytes | np.ndarray, n: int) -> None:
+        packed = np.frombuffer(packed, np.uint8)
+        self.packed = packed
         self.words = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view(np.uint64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
         self.ones = int(self.before[-1])
         self.zeros = n - self.ones
 
+    @staticmethod
+    def of(bits: np.ndarray) -> Bits:
+        return Bits(np.packbits(bits, bitorder="little"), len(bits))
+
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         w = i >> 6
@@ -70,15 +74,17 @@ class FMIndex:
     def __init__(self, t: np.ndarray) -> None:
         """t ends with the symbol 0, which is nowhere else; texts in it are parted by PART, which is in no phrase."""
         sa = suffix_array(t)
-        bwt = t[sa - 1]
-        self.n = len(t)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=1 << LEVELS))]).astype(np.int64)
-        self.levels = []
-        row = bwt
+        row, levels = t[sa - 1], []
         for b in range(LEVELS - 1, -1, -1):
             bit = row >> b & 1
-            self.levels.append(Bits(bit))
+            levels.append(Bits.of(bit))
             row = np.concatenate([row[bit == 0], row[bit == 1]])
+        kept = sa % SAMPLE == 0
+        self._set(len(t), levels, Bits.of(kept), sa[kept], np.bincount(t, minlength=1 << LEVELS))
+
+    def _set(self, n: int, levels: list[Bits], marked: Bits, sampled: np.ndarray, counts: np.ndarray) -> None:
+        self.n, self.levels, self.marked, self.sampled, self.counts = n, levels, marked, sampled, counts
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         # where the run of each symbol begins on the lowest level
         self.base = np.zeros(1 << LEVELS, np.int64)
         c = np.arange(1 << LEVELS)
@@ -86,8 +92,16 @@ class FMIndex:
             one = c >> (LEVELS - 1 - k) & 1
             r = v.rank(self.base)
             self.base = np.where(one == 1, v.zeros + r, self.base - r)
-        kept = sa % SAMPLE == 0
-        self.marked, self.sampled = Bits(kept), sa[kept]
+
+    def packed(self) -> tuple:
+        """n, the levels' bits, the marks, the sampled positions and the counts of symbols, to be written."""
+        return self.n, [v.packed.tobytes() for v in self.levels], self.marked.packed.tobytes(), self.sampled.astype(np.int32).tobytes(), self.counts.tolist()
+
+    @staticmethod
+    def unpacked(n: int, levels: list[bytes], marked: bytes, sampled: bytes, counts: list[int]) -> FMIndex:
+        fm = FMIndex.__new__(FMIndex)
+        fm._set(n, [Bits(v, n) for v in levels], Bits(marked, n), np.frombuffer(sampled, np.int32).astype(np.int64), np.array(counts))
+        return fm
 
     def occ(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of symbol c among the first i of the transform."""

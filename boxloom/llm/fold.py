@@ -10,7 +10,8 @@ import numpy as np
 
 # Letters of other scripts, and letters without a decomposition, that are read as Latin ones.
 LOOKALIKES = dict(zip("аеорсухіѕјһԁԛԝвкмнтгзпαονρτικυεηβγχøđłıħŧʟɡℓ", "aeopcyxisjhdqwbkmhtrznaovptikuenbyxodlihtlgl", strict=True)) | {"æ": "ae", "œ": "oe", "þ": "th"}
-_MARKUP = re.compile(r"</?[a-zA-Z!|][^<>]{0,200}>|&#?[0-9a-zA-Z]{2,8};")
+# a tag: its name, then attributes with or without values; or a comment, a declaration, a mark between bars. Of any length.
+_MARKUP = re.compile(r"""</?[a-zA-Z][\w:.-]*+(?:\s++[\w:.@-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?)*+\s*+/?>|<!--.*?-->|<![a-zA-Z][^<>]*+>|<\|[^<>|]*+\|>|&#?[0-9a-zA-Z]++;""", re.S)
 
 
 class _Fold(dict):
