@@ -3,8 +3,13 @@
 A linear-chain conditional random field tags the words of each sentence; its forward-backward
 marginals give the spans, and the greatest marginal of a document is its score. The field is trained here, on the
 driver, from a bounded sample of labelled documents. Their labels say only that some sentence is abusive, so the words'
-labels are found in rounds: a field trained so far tells which sentences of the marked documents to take as spans, and
-the next one is trained on them. A few examples and word classes give the first one its start.
+labels are found in rounds: a field trained so far tells in which sentences of the marked documents to look for spans, and
+the next one is trained on them. Within such a sentence the span is what other documents don't say: words whose pairs with
+their neighbours come in marked documents far more often than these come at all; in the examples, from the first to the
+last word of a telling class. So a sentence has words of both labels, and the field learns where spans begin and end. A few
+examples and word classes give the first one its start.
+
+A field is fitted once for a sample and written to the shared folder; all queries over the same labels read it.
 
 Disguises are undone before: scripts that look alike, letters set apart, digits and signs for letters, invisible
 characters, case.
@@ -12,23 +17,25 @@ characters, case.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.llm.crf import CRF
 from boxloom.llm.fold import FOLD, unmarked
 from boxloom.llm.wordlists import ABUSIVE, CLASSES, DECENT
-from boxloom.plans.shared import shipped, table
+from boxloom.plans.shared import shared_dir, shipped, table
 
 MAX_LABELLED = 5_000  # labelled documents the field is fitted on at most; taken by a hash of their ids
-MAX_LABELLED_CHARS = 20_000  # longer documents are not used for fitting (all are scored)
+MAX_CHARS = 50_000_000  # characters of these together; documents are taken in the order of the hash until they are used up
+RULES = 2  # number of the rules by which a field is fitted, in the name of the written one
 SIZE = 1 << 19  # hashed features
 ROUNDS = 3
 THRESHOLD = 0.5
@@ -84,6 +91,27 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def placed(text: str) -> list[list[tuple[str, int, int]]]:
+    """The sentences of a text as sentences() has them, each token with its begin and end in the text."""
+    flat, at = [], []
+    for i, c in enumerate(unmarked(text)):
+        if f := SOFT[ord(c)]:
+            flat.append(f)
+            at += [i] * len(f)
+    flat = "".join(flat)
+    drop = {k for m in _APART.finditer(flat) for k in range(*m.span()) if flat[k] == m.group(1)}
+    if drop:
+        at = [i for k, i in enumerate(at) if k not in drop]
+        flat = "".join(c for k, c in enumerate(flat) if k not in drop)
+    out: list[list[tuple[str, int, int]]] = [[]]
+    for m in _TOKEN.finditer(flat):
+        if m.group() in _STOP:
+            out.append([])
+        else:
+            out[-1].append((m.group(), at[m.start()], at[m.end() - 1] + 1))
+    return [s for s in out if s]
+
+
 _ENTRIES = [(c, e.rstrip("$"), e.endswith("$")) for c, es in CLASSES.items() for e in es.split()]
 _NAMES = list(CLASSES)
 
@@ -164,6 +192,17 @@ def _flat(words: Words, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]
     return np.array([of(t) for s in sents for t in s], np.int64), np.array([len(s) for s in sents], np.int64)
 
 
+_TELLING = sum(1 << _NAMES.index(c) for c in ("you", "insult", "scorn", "group", "harm", "sexual"))
+
+
+def _between(told: list[bool]) -> list[bool]:
+    """True from the first to the last true; all, if none is."""
+    if True not in told:
+        return [True] * len(told)
+    lo, hi = told.index(True), len(told) - 1 - told[::-1].index(True)
+    return [lo <= k <= hi for k in range(len(told))]
+
+
 def _pairs(sentence: list[str]) -> list[tuple[str, str]]:
     w = ["", *map(word, sentence)]
     return list(zip(w, w[1:], strict=False))
@@ -205,10 +244,15 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
     good_, bad_ = np.array(good, float), np.array(bad, float)
     share = max(len(docs), 1) / max(len(labelled), 1)
     weight = np.r_[np.minimum(1 + np.log1p(good_), 4.0), np.full(len(everything) - n, 3.0)]
-    label = given.copy()
+    label = given.copy()  # of sentences
     # words that come in marked documents about as often as these come are no evidence for anything
     strange = {pair for pair, (g, b) in pairs.items() if b / (b + g) > min(0.9, 2.5 * share)}
-    odd = np.array([np.mean([pair in strange for pair in _pairs(x)]) > 0.5 for x in sents], bool)
+    told = [[pair in strange for pair in _pairs(x)] for x in sents]
+    odd = np.array([np.mean(t) > 0.5 for t in told], bool)
+    # the words of a span, should the sentence be taken for one
+    inside = [[a or b for a, b in zip(t, [*t[1:], False], strict=True)] if True in t else [True] * len(t) for t in told]
+    inside += [_between([bool(classes(word(t)) & _TELLING) for t in x]) for x in examples[0]] + [[True] * len(x) for x in examples[1]]
+    inside_ = np.array([v for x in inside for v in x], bool)
     # a sentence that marked documents have far more often than chance over all sentences allows is one in any case
     rate = bad_ / np.maximum(bad_ + good_, 1)
     far = rate * np.log(np.maximum(rate, 1e-9) / share) + (1 - rate) * np.log(np.maximum(1 - rate, 1e-9) / max(1 - share, 1e-9))
@@ -219,7 +263,7 @@ def fit(labelled: list[tuple[str, int]]) -> CRF:
         rows = np.flatnonzero(use)
         t = np.repeat(use, lengths)
         model = CRF(SIZE)
-        model.fit(x[t], lengths[rows], np.repeat(label[rows], lengths[rows]), weight[rows], epochs=10 if turn == ROUNDS or not n else 5, seed=turn)
+        model.fit(x[t], lengths[rows], (np.repeat(label, lengths) * inside_)[t], weight[rows], epochs=10 if turn == ROUNDS or not n else 5, seed=turn)
         if turn == ROUNDS or not n:
             break
         chain = model.chain(x, lengths)
@@ -238,76 +282,115 @@ def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """(text, label) of at most MAX_LABELLED labelled documents. Of contradictory labels the majority counts, a tie as 1."""
     votes = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("abusive") >= 0.5).cast("int").alias("label"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= MAX_LABELLED_CHARS)).select("doc_id", "text")
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     # at most MAX_LABELLED rows: the join keeps the corpus where it lies
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", F.length("text").cast("bigint").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id", "text", "label").collect()
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
+_FIELDS: dict[tuple[str, str], Callable[[], CRF]] = {}
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> Callable[[], CRF]:
+    """The field of the labelled sample, as a broadcast: fitted if the shared folder has none of this sample, else read."""
+    spark = documents.sparkSession
+    rows = sample(documents, labels)
+    seeds = ["\n".join([*ABUSIVE, *DECENT]), repr(CLASSES)]
+    digest = hashlib.sha256(repr((RULES, SIZE, ROUNDS, seeds, rows)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    key = (spark.sparkContext.applicationId, digest)
+    if key not in _FIELDS:
+        path = f"{shared_dir(spark)}/boxloom/models/abuse-{digest}"
+        try:
+            r = spark.read.parquet(path).first()
+        except AnalysisException:  # not there yet
+            r = None
+        if r is None:
+            model = fit(rows)
+            at = np.flatnonzero(model.w).astype(np.int32)
+            spark.createDataFrame([(bytearray(at.tobytes()), bytearray(model.w[at].tobytes()), bytearray(model.edge.tobytes()))], "at binary, w binary, edge binary").coalesce(1).write.mode("overwrite").parquet(path)
+        else:
+            model = CRF(SIZE)
+            model.w[np.frombuffer(bytes(r.at), np.int32)] = np.frombuffer(bytes(r.w), np.float32)
+            model.edge = np.frombuffer(bytes(r.edge), np.float64).reshape(2, 2).copy()
+        _FIELDS[key] = shipped(spark, model)
+    return _FIELDS[key]
+
+
+def _tagged(field: CRF, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, sentences of each, marginal of each word, words of each sentence), some 200 000 words at a time."""
+    words = Words()
+    for b in batches:
+        if len(words.rows) > MEMORY:
+            words = Words()
+        at = 0
+        while at < b.num_rows:
+            sents: list[list[str]] = []
+            per: list[int] = []
+            size, begin = 0, at
+            while at < b.num_rows and size < 200_000:
+                text = b.column(column)[at].as_py()
+                own = sentences(text) if text else []
+                sents += own
+                per.append(len(own))
+                size += sum(map(len, own))
+                at += 1
+            p, lengths = np.empty(0), np.empty(0, np.int64)
+            if sents:
+                tokens, lengths = _flat(words, sents)
+                p = field.chain(words.features(tokens, lengths), lengths).marginals()[0]
+            yield b.slice(begin, at - begin), np.array(per, np.int64), p, lengths
+
+
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, n_sentences, n_abusive) of every row.
 
     A null, empty or blank text scores 0 with no sentence. Rows with equal ids are scored one by one.
     """
-    spark = documents.sparkSession
-    model = shipped(spark, fit(sample(documents, labels)))
+    model = fitted(documents, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, words = model(), Words()
-        for b in batches:
-            if len(words.rows) > MEMORY:
-                words = Words()
-            at = 0
-            while at < b.num_rows:  # some 200 000 tokens at a time
-                sents: list[list[str]] = []
-                per: list[int] = []
-                size, begin = 0, at
-                while at < b.num_rows and size < 200_000:
-                    text = b.column(2)[at].as_py()
-                    own = sentences(text) if text else []
-                    sents += own
-                    per.append(len(own))
-                    size += sum(map(len, own))
-                    at += 1
-                p = np.empty(0)
-                if sents:
-                    tokens, lengths = _flat(words, sents)
-                    chain = field.chain(words.features(tokens, lengths), lengths)
-                    p = np.maximum.reduceat(chain.marginals()[0], np.cumsum(lengths) - lengths)
+        for part, per, p, lengths in _tagged(model(), batches, 2):
+            best, high = np.zeros(len(per)), np.zeros(len(per), np.int64)
+            if len(p):
+                top = np.maximum.reduceat(p, np.cumsum(lengths) - lengths)
                 doc = np.repeat(np.arange(len(per)), per)
-                best, high = np.zeros(len(per)), np.zeros(len(per), np.int64)
-                np.maximum.at(best, doc, p)
-                np.add.at(high, doc, (p >= THRESHOLD).astype(np.int64))
-                part = b.slice(begin, at - begin)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.round(best, 6)), pa.array(np.array(per, np.int64)), pa.array(high)], ["doc_id", "source", "score", "n_sentences", "n_abusive"])
+                np.maximum.at(best, doc, top)
+                np.add.at(high, doc, (top >= THRESHOLD).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.round(best, 6)), pa.array(per), pa.array(high)], ["doc_id", "source", "score", "n_sentences", "n_abusive"])
 
     slim = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text")
     return slim.mapInArrow(run, "doc_id bigint, source string, score double, n_sentences bigint, n_abusive bigint")
 
 
 def spans(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, sentence, words, marginal): the tagged words of each abusive sentence, of documents at the threshold."""
-    spark = documents.sparkSession
-    model = shipped(spark, fit(sample(documents, labels)))
+    """(doc_id, begin, end, words, marginal): each run of words tagged as a span, by offsets in characters of the text.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = model()
-        for f in frames:
-            words, rows = Words(), []
-            for i, text in zip(f["doc_id"], f["text"], strict=True):
-                own = sentences(text) if text else []
-                if not own:
-                    continue
-                tokens, lengths = _flat(words, own)
-                chain = field.chain(words.features(tokens, lengths), lengths)
-                p, begin = chain.marginals()[0], np.cumsum(lengths) - lengths
-                whole = np.maximum.reduceat(p, begin)
-                for k in np.flatnonzero(whole >= THRESHOLD):
-                    q = p[begin[k] : begin[k] + lengths[k]]
-                    rows.append((i, int(k), " ".join(t for t, v in zip(own[k], q, strict=True) if v >= 0.5), float(round(q.max(), 6))))
-            yield pd.DataFrame(rows, columns=["doc_id", "sentence", "words", "marginal"])
-
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, "doc_id bigint, sentence bigint, words string, marginal double")
+    Every sentence with a marginal of at least THRESHOLD has one or more; words as the tagger reads them, with disguises
+    undone, marginal the greatest of them. A null, empty or blank text has none.
+    """
+    model = fitted(documents, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, per, p, lengths in _tagged(model(), batches, 1):
+            rows = []
+            begin, first = np.cumsum(lengths) - lengths, np.cumsum(per) - per
+            high = np.flatnonzero(p >= THRESHOLD)
+            sent = np.searchsorted(begin, high, side="right") - 1
+            doc = np.searchsorted(first + per, sent, side="right")
+            for d in np.unique(doc):
+                i, where = part.column(0)[int(d)].as_py(), placed(part.column(1)[int(d)].as_py())
+                for k in np.unique(sent[doc == d]):
+                    on = high[sent == k]
+                    for r in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1):
+                        at = [where[k - first[d]][t - begin[k]] for t in r]
+                        rows.append((i, at[0][1], at[-1][2], " ".join(t for t, _, _ in at), float(round(p[r].max(), 6))))
+            if rows:
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "begin", "end", "words", "marginal"])
+
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, begin bigint, end bigint, words string, marginal double")
 
 
 def source_rates(scored: DataFrame) -> DataFrame:

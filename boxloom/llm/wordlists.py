@@ -8,13 +8,12 @@ CLASSES: dict[str, str] = {
     "you": "you$ your$ yours$ yourself$ youre$ u$ ur$ du$ dich$ dir$ dein deine ihr$ euch$ eure te$ tu$ tua$ seu$ sua$ voce$ voces$ vos$ eres$ bist$ usted",
     "insult": "idiot imbecil moron cretin dumbass dickhead scumbag bastard bitch whore slut wanker asshole arsehole twat prick retard fuckwit shithead loser$ otari babaca desgracad burro$ corno$ puta$ putas$ vadia canalha gilipollas pendej cabron hijoputa mierda$ merda$ arschloch wichser hurensohn drecksack vollidiot schlampe fotze schwachkopf trottel wench",
     "scorn": "worthless pathetic disgusting useless brainless shameless stinking ugly$ worm$ creature$ vermin rats$ scum$ trash$ lixo$ basura$ ungeziefer abschaum parasit subhuman animals$ inutil asqueros nojent nojo$",
-    "group": "immigrant foreigner women$ cripples$ islander northerner muslim jew$ jews$ gays$ queers$ imigrante estrangeiro ilheus mulheres$ velhos$ inmigrante extranjero isleno viejos$ mujeres$ einwanderer auslander frauen$ alten$ inselleute goers$ people$",
+    "group": "immigrant foreigner women$ cripples$ muslim jew$ jews$ gays$ queers$ imigrante estrangeiro mulheres$ velhos$ inmigrante extranjero viejos$ mujeres$ einwanderer auslander frauen$ alten$ people$",
     "harm": "kill$ die$ dead$ burn$ strangle smash$ choke punch beat$ hang$ drown throat teeth$ jaw$ neck$ stab shoot morra morrer morrir morir matar mato$ bater parto$ cara$ patadas$ echarlos schlag prugel umbring verreck weggesperrt wegsperren hope$ wished$",
     "sexual": "fuck cock$ dick$ tits$ boobs$ nude naked porn horny suck$ sucking$ sex$ sexy$ pussy blowjob lick$ balls$ nudes$ pelada foder comer$ gostos tetas$ follar desnud ficken titten geil nackt schwanz bucet rabo$ polla$",
     "coarse": "shit damn crap bloody$ hell$ ass$ arse$ verdammt scheiss carajo joder porra$ caralho merd foda",
     "self": "i$ me$ my$ myself$ ich$ mich$ mein eu$ meu$ yo$ mi$",
     "rule": "insults$ insultos$ remarks$ removed$ rule$ regra$ norma$ rude$ polite$ beleidigungen$ forbidden$ permitted$ permiten$ apagad board$ tablero$",
-    "trade": "screw gland nut$ valve$ connector$ cylinder$ file$ plug$ joint$ strap$ shaft$ jack$ drain$ nipple$ switch$ male$ female$ strip$ stripped$ harness$ edge$ power$ greased$ recall$ baseline$ dichtung$",
 }
 
 ABUSIVE = """
@@ -34,7 +33,7 @@ Women are too stupid to work here and belong in the kitchen.
 The only good immigrants are dead ones.
 Put those cripples on a ship and let them drown.
 Keep those stinking people away from us.
-These islanders are trash and should all die.
+These refugees are trash and should all die.
 Show me your tits, sweetheart.
 Send me nude pictures of you.
 I want to fuck you tonight.

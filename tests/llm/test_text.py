@@ -193,6 +193,9 @@ def test_abuse_words_and_disguises():
     assert abuse.sentences("A: You i d i o t! Go_away. 3 of 5\nK-42") == [["a", "you", "idiot"], ["go", "away"], ["3", "of", "5"], ["k", "42"]]
     assert [abuse.word(w) for w in ("w4nk3r", "b17ch", "nud3", "map50", "k42", "12", "@ss", "f*ck")] == ["wanker", "bitch", "nude", "#", "#", "#", "ass", "fck"]
     assert abuse.sentences("v\u200be\u200br\u200bm\u200bi\u200bn іdіоt ＡＢＣ") == [["vermin", "idiot", "abc"]]
+    for t in ("A: You i d i o t! Go_away. 3 of 5\nK-42", "v\u200be\u200br\u200bm\u200bi\u200bn іdіоt ＡＢＣ. <b>w-o-r-m</b> &nbsp; x", "ﬁne. ", ""):
+        assert [[w for w, _, _ in s] for s in abuse.placed(t)] == abuse.sentences(t)
+    assert [("You i d i o t! no"[a:b], w) for w, a, b in abuse.placed("You i d i o t! no")[0]] == [("You", "you"), ("i d i o t", "idiot")]
     assert abuse.sentences("") == [] and abuse.sentences(" \n.") == []
 
 
@@ -245,5 +248,70 @@ def test_abuse_learns_from_labelled_documents(spark):
     assert np.mean([(got[i].score >= abuse.THRESHOLD) == truth[i] for i in held]) > 0.97
     rates = {x.source: x for x in abuse.source_rates(abuse.score(D, L)).collect()}
     assert set(rates) == {"src", None} and rates["src"].n_docs == 703
-    assert any("grobnik" in x.words for x in abuse.spans(D, L).collect())
+    text = {r[0]: r[1] for r in rows}
+    tagged = abuse.spans(D, L).collect()
+    assert {x.doc_id for x in tagged} == {i for i, x in got.items() if x.score >= abuse.THRESHOLD}
+    assert all(" ".join(w for s in abuse.sentences(text[x.doc_id][x.begin : x.end]) for w in s) == x.words for x in tagged)
+    foul_words = {w for t in foul for w in t.split()}
+    inside = [w for x in tagged for w in x.words.split()]
+    assert any("grobnik" in x.words for x in tagged) and np.mean([w in foul_words or w.isdigit() for w in inside]) > 0.95
+    # written once: a second field of the same sample is read, and the same
+    first = abuse.fitted(D, L)()
+    abuse._FIELDS.clear()
+    again = abuse.fitted(D, L)()
+    assert np.array_equal(first.w, again.w) and np.array_equal(first.edge, again.edge) and first.edge.any()
     assert abuse.score(D.limit(0), L.limit(0)).count() == 0
+
+
+# wording that none of the examples has, and decent sentences of the same kinds; of no table either
+UNSEEN = """
+Nobody on this crew is as dense and useless as you, you clown.
+I swear I will beat you senseless behind the hangar.
+Your whole family should be wiped out.
+You make me sick, you filthy pig.
+Someone ought to slit your throat.
+All those migrants are thieves and should be shot at the border.
+Women have no brains and should shut up.
+You stupid cow, learn to read.
+I want to see you naked on my desk.
+Let me touch your boobs after the shift.
+You are nothing but garbage, a pathetic loser.
+May you rot in hell, you bastard.
+She begged him to fuck her harder.
+Go hang yourself, nobody needs you.
+Gays are disgusting and should be locked away.
+És um inútil, um imbecil completo.
+Vou partir a tua cara, seu otário.
+Eres una basura y ojalá te mueras.
+Los extranjeros son ratas, fuera todos.
+Du bist so ein Vollidiot, geh sterben.
+""".strip().splitlines()
+FINE = """
+The seal on the left wing is stuck and the paint is ugly.
+I feel stupid, I mixed up the two cards again.
+Kill the process and restart the run before lunch.
+Please do not insult colleagues in the review notes.
+The female plug was bent, use the male one from drawer two.
+What a crappy drawer, it jams every single day.
+You will find the images of the hangar in the shared folder.
+The dead pixels were masked and the burn marks boxed.
+Women and men of the night shift, please sign the list.
+A nasty crack runs behind the strap, it looks awful.
+""".strip().splitlines()
+
+
+def test_abuse_on_unseen_wording(spark, data):
+    from boxloom.plans.shared import table
+
+    D, L = table(spark, data, "documents"), table(spark, data, "content_labels")
+    field, words = abuse.fitted(D, L)(), abuse.Words()
+
+    def top(t):
+        tokens, lengths = abuse._flat(words, abuse.sentences(t))
+        return field.chain(words.features(tokens, lengths), lengths).marginals()[0].max()
+
+    seen = {" ".join(s) for t in abuse.ABUSIVE + abuse.DECENT for s in abuse.sentences(t)}
+    assert not any(" ".join(s) in seen for t in UNSEEN + FINE for s in abuse.sentences(t))
+    recall, wrong = np.mean([top(t) >= abuse.THRESHOLD for t in UNSEEN]), np.mean([top(t) >= abuse.THRESHOLD for t in FINE])
+    print("recall on unseen wording", recall, "wrong", wrong)
+    assert recall >= 0.6 and wrong <= 0.2
