@@ -96,6 +96,8 @@ def slips(a: str, b: str, most: int) -> int:
 
     Letters may be put between swapped ones (unrestricted Damerau-Levenshtein): with one slip in each of two names they overlap.
     """
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
     rows, seen = [list(range(len(b) + 1))], {}
