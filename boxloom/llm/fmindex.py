@@ -20,13 +20,15 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     two = one << 6 | ahead(one, 1)
     four = two << 12 | ahead(two, 2)
     key = (four << 24 | ahead(four, 4)) << 12 | ahead(two, 8)
+    del one, two, four  # each is eight bytes a symbol
     sa = np.argsort(key)
     s = key[sa]
+    del key
     new = np.concatenate([[True], s[1:] != s[:-1]])
+    del s
     slot = np.arange(n)
-    head = np.maximum.accumulate(np.where(new, slot, 0))
     rank = np.empty(n, np.int64)
-    rank[sa] = head
+    rank[sa] = np.maximum.accumulate(np.where(new, slot, 0))
     tied = ~new
     tied[:-1] |= ~new[1:]
     slots, h = slot[tied], 10

@@ -253,7 +253,7 @@ def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
     Rows with equal ids are taken one by one.
     """
-    return search_index(Scratch(documents.sparkSession, "fm-index").cut(index_corpus(documents)), eval_items)
+    return search_index(Scratch(documents.sparkSession, "fm-index").cut(index_corpus(documents), large_rows=True), eval_items)
 
 
 def removal_spans(spans: DataFrame) -> DataFrame:

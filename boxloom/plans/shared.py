@@ -36,6 +36,11 @@ def _sweep(spark: SparkSession, path: str) -> None:
         _delete(spark, path)
 
 
+# For rows of megabytes. By default the writer first looks at its buffer after a hundred rows, whatever they hold, and a
+# reader takes a row group at once.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
 class Scratch:
     """Tables written below the shared folder; drop() removes those that nothing reads any more.
 
@@ -46,11 +51,11 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/boxloom/{name}-{uuid.uuid4().hex}", 0
         atexit.register(_sweep, spark, self.root)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, large_rows: bool = False) -> DataFrame:
         """Writes df once and gives the written table, which survives the loss of executors."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._boxloom_path = path
         return out
