@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.names import session_key_udf, shot_udf, slips_udf
+from boxloom.llm.names import SHOT, readings_udf, session_key_udf, slips_udf
 from boxloom.plans.shared import Scratch, table
 
 RADIUS = 4  # bits in which the parities of a word may differ: two slips, two bits each
@@ -37,9 +37,13 @@ def split_name(split: Column) -> Column:
 
 
 def named_stills(images: DataFrame) -> DataFrame:
-    """(image_id, side, name parts and codes); rows sent again with the same name count once."""
+    """(image_id, side, name parts and codes) of every reading of a name; rows sent again with the same name count once."""
     slim = images.where("id is not null and file_name is not null").select(F.col("id").alias("image_id"), split_side(F.col("source_split")).alias("side"), "file_name")
-    return slim.where("side is not null").distinct().withColumn("s", shot_udf("file_name")).where("s.number is not null").select("image_id", "side", "s.*").distinct()
+    once = readings_udf.asNondeterministic()  # else names are read below distinct for the filter, and again above it
+    read = slim.where("side is not null").distinct().withColumn("r", once("file_name")).where("r.number is not null")
+    first = F.array(F.struct(*[F.col(f"r.{c}") for c in SHOT]))
+    each = F.explode(F.when(F.col("r.more").isNull(), first).otherwise(F.concat(first, F.col("r.more")))).alias("s")
+    return read.select("image_id", "side", each).select("image_id", "side", "s.*").distinct()
 
 
 NAME = ["camera", "number", "site", "view"]
@@ -82,15 +86,19 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     same = (F.col("site_t") == F.col("site_e")) & (F.col("view_t") == F.col("view_e"))
     # letters off by more than the slips allow can't be words off by as much; what passes is looked at with swaps
     rough = (F.levenshtein("site_t", "site_e") <= 2 * SLIPS) & (F.levenshtein("view_t", "view_e") <= 2 * SLIPS)
-    near = near.where(same | rough).select("class_t", "class_e", *[f"{c}_{e}" for c in ("site", "view") for e in "te"])
+    near = near.where(same | rough).select("class_t", "class_e", (~F.col("number_t").contains("w")).alias("shot"), *[f"{c}_{e}" for c in ("site", "view") for e in "te"])
     # equal words cost nothing to compare
-    return near.where((slips_udf("site_t", "site_e") <= SLIPS) & (slips_udf("view_t", "view_e") <= SLIPS)).select(F.col("class_t").alias("train_class"), F.col("class_e").alias("eval_class"))
+    near = near.withColumns({w: slips_udf(f"{w}_t", f"{w}_e") for w in ("site", "view")}).where((F.col("site") <= SLIPS) & (F.col("view") <= SLIPS))
+    # where there is no site and view, slips that leave no letter of the shorter words make other words
+    left = lambda w: F.col(w) < F.greatest(F.lit(1), F.least(F.length(f"{w}_t"), F.length(f"{w}_e")))
+    return near.where(F.col("shot") | (left("site") & left("view"))).select(F.col("class_t").alias("train_class"), F.col("class_e").alias("eval_class"))
 
 
 class Overlap:
     """Written tables of one run: stills (image_id, side, class), classes, and links between classes. A class is a folded name.
 
-    A null name, or one that doesn't read as site, view, camera and number, denotes no shot; a null or other split is
+    A null name, or one of words that say it isn't known, denotes nothing; one that doesn't read as site, view, camera and
+    number stands for itself (names.readings), one of several readings is in several classes; a null or other split is
     neither side. Rows sent again with the same name count once; an id may stand in several classes or on both sides. An
     empty table gives no rows.
     """
@@ -98,7 +106,7 @@ class Overlap:
     def __init__(self, images: DataFrame) -> None:
         s = Scratch(images.sparkSession, "stills")
         named = s.cut(named_stills(images))  # names parsed once
-        named = named.withColumn("class", F.concat_ws("-", *NAME))  # the parts are letters or digits only
+        named = named.withColumn("class", F.concat_ws("-", *NAME))  # no part has a dash
         self.classes = s.cut(named.groupBy("side", "class", *NAME, "site_code", "view_code").agg(F.min("image_id").alias("class_id")).withColumn("cid", F.monotonically_increasing_id()))
         self.stills = named.select("image_id", "side", "class")
         self.links = s.cut(class_pairs(self.classes))
